@@ -1,15 +1,32 @@
-"""Queries of problems 6, 7 and 8, over the whole tables. Tokens have no SQL; tests use brute force."""
+"""Queries of problems 3, 6, 7 and 8, over the whole tables.
+
+Judgement of sources and sizes in tokens have no SQL; tests use labelled
+fixtures and brute force.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.tables import read_table
+from .handwritten import classify_sources
 from .mixing import document_sizes, mix, share_report
 from .packing import fill_report, pack_texts
 from .splitting import CutLimit, split_texts
 
 
+def not_handwritten(spark: SparkSession, sf: str) -> DataFrame:
+    return classify_sources(read_table(spark, sf, "sources")).where(F.col("label") != "handwritten").select("path")
+
+
+def source_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Label of every source with the language last delivered for its path."""
+    files = read_table(spark, sf, "files").where(F.col("path").isNotNull() & F.col("language").isNotNull())
+    newest = files.groupBy("path").agg(F.max(F.struct("load_id", "updated_at", "language"))["language"].alias("language"))
+    labels = classify_sources(read_table(spark, sf, "sources"))
+    return labels.join(newest, "path", "left").select("path", F.lower("language").alias("language"), "label", "p_handwritten")
+
+
 def _limits(spark: SparkSession, sf: str, kind: str) -> DataFrame:
     return read_table(spark, sf, "size_limits").where(F.startswith(F.col("limit_name"), F.lit(kind)))
 
@@ -37,6 +54,8 @@ def pieces(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "p3_found": not_handwritten,
+    "p3_labels": source_labels,
     "p6_containers": packed,
     "p6_fill": packing_fill,
     "p7_mixture": mixture,
