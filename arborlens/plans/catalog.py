@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import problems
+from . import lookups, problems
 
-_MODULES = [problems]
+_MODULES = [problems, lookups]
 
 
 def queries() -> dict:
