@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lookups, problems
+from . import analyses, clonesets, lookups, problems, searches
 
-_MODULES = [problems, lookups]
+_MODULES = [problems, lookups, analyses, searches, clonesets]
 
 
 def queries() -> dict:
