@@ -20,12 +20,13 @@ merged into one.
 
 from __future__ import annotations
 
-import json
 import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from ..sources.versions import VersionLog
+
 _SEGMENT = T.StructType(
     [
         T.StructField("table_name", T.StringType()),
@@ -39,10 +40,6 @@ _SEGMENT = T.StructType(
 _KEY = ["table_name", "record_key"]
 
 
-class VersionConflict(RuntimeError):
-    """Another run published this version first."""
-
-
 def epoch_seconds(stamp: Column) -> Column:
     """Whole seconds of an epoch number given in seconds or milliseconds (1e11 s is the year 5138)."""
     return F.when(F.abs(stamp) >= 100_000_000_000, F.floor(stamp / 1000)).otherwise(stamp).cast("long")
@@ -66,42 +63,12 @@ class KeyedState:
 
     def __init__(self, spark: SparkSession, root: str, compact_after: int = 8):
         self.spark, self.root, self.compact_after = spark, root.rstrip("/"), compact_after
-        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
-        self._fs = self._path(self.root).getFileSystem(self._conf)
-        self._fs.mkdirs(self._path(f"{self.root}/manifests"))
-
-    def _versions(self) -> list[int]:
-        found = self._fs.listStatus(self._path(f"{self.root}/manifests"))
-        names = [status.getPath().getName() for status in found]
-        return sorted(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json"))
+        self.log = VersionLog(spark, self.root)
 
     def manifest(self) -> _Manifest:
         """The newest published version; version 0 is the empty state."""
-        versions = self._versions()
-        if not versions:
-            return _Manifest(0, None, 0, [])
-        stream = self._fs.open(self._path(f"{self.root}/manifests/v{versions[-1]}.json"))
-        try:
-            text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        return _Manifest(**json.loads(text))
-
-    def _publish(self, manifest: _Manifest) -> None:
-        """Make ``manifest`` current, or raise if its version number is taken."""
-        staged = self._path(f"{self.root}/manifests/.{uuid.uuid4().hex}.tmp")
-        out = self._fs.create(staged)
-        out.write(bytearray(json.dumps(vars(manifest)).encode()))
-        out.close()
-        final = self._path(f"{self.root}/manifests/v{manifest.version}.json")
-        jvm = self.spark.sparkContext._jvm
-        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
-        try:
-            jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), self._conf).rename(staged, final, options)
-        except Exception as error:
-            self._fs.delete(staged, False)
-            raise VersionConflict(f"version {manifest.version} exists") from error
+        _, content = self.log.newest()
+        return _Manifest(**content) if content else _Manifest(0, None, 0, [])
 
     def _read(self, segments: list[str]) -> DataFrame:
         if not segments:
@@ -157,7 +124,8 @@ class KeyedState:
         segments = [*now.segments, path]
         if len(segments) > self.compact_after:
             segments = [self._compact(segments)]
-        self._publish(_Manifest(now.version + 1, run_id, now.seq + 1, segments))
+        after = _Manifest(now.version + 1, run_id, now.seq + 1, segments)
+        self.log.publish(after.version, vars(after))
         return self._read([path]).where(F.col("change") != "touched").select(*_KEY, "change")
 
     def _compact(self, segments: list[str]) -> str:

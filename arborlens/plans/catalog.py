@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analyses, clonesets, groups, lookups, problems, searches
+from . import analyses, clonesets, groups, ingest, lookups, problems, searches
 
-_MODULES = [problems, lookups, analyses, searches, clonesets, groups]
+_MODULES = [problems, lookups, analyses, searches, clonesets, groups, ingest]
 
 
 def queries() -> dict:
