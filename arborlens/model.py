@@ -1,4 +1,4 @@
-"""Schemas, fixed dimensions and default configuration of the code graph."""
+"""Schemas, fixed dimensions and default configuration of the graph of symbols."""
 
 from __future__ import annotations
 

@@ -25,11 +25,11 @@ def precision_at(results: DataFrame, expected: DataFrame, queries: DataFrame, k:
 
 
 def blast_scores(predicted: DataFrame, expected: DataFrame, scenarios: DataFrame) -> DataFrame:
-    """``scenario, precision, recall``: predicted (not made distinct) against expected nodes; 0 where a side is empty."""
+    """``scenario, precision, recall``: predicted against expected nodes, both lists as they come; 0 where a side is empty."""
     truth = expected.select("scenario", "node").distinct()
     good = predicted.join(truth.withColumn("good", F.lit(1)), ["scenario", "node"], "left").groupBy("scenario")
     good = good.agg(F.count(F.lit(1)).alias("n_predicted"), F.sum("good").alias("n_good"))
-    wanted = truth.groupBy("scenario").agg(F.count(F.lit(1)).alias("n_expected"))
+    wanted = expected.groupBy("scenario").agg(F.count(F.lit(1)).alias("n_expected"))
     both = scenarios.select("scenario").distinct().join(good, "scenario", "left").join(wanted, "scenario", "left")
     share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     return both.select("scenario", share("n_good", "n_predicted").alias("precision"), share("n_good", "n_expected").alias("recall"))

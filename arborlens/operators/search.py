@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.names import file_stem, pascal, short_name
 from ..model import SearchConfig
-from .codegraph import first_names
+from .symbolgraph import first_names
 
 #: Constants of the BM25 formula (Robertson et al.).
 K1, B = 1.2, 0.75

@@ -1,4 +1,4 @@
-"""The current code graph from the delivered feeds, and lookups on it.
+"""The current graph of symbols from the delivered feeds, and lookups on it.
 
 Symbols and files come many times; a current row is the newest of its key,
 found by an aggregation that combines before it shuffles, so a name of a tenth

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.codegraph import current_edges, current_files, current_symbols
+from ..operators.symbolgraph import current_edges, current_files, current_symbols
 from ..sources.tables import read_table
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.names import extension, file_stem, language_of, name_file, name_symbol, segments, short_name
 from ..model import CONFIDENCE_NAMES, EDGE_KIND_TIERS, confidence_rank
-from ..operators.codegraph import (
+from ..operators.symbolgraph import (
     at_least,
     changed_symbols,
     find_by_name,

@@ -1,4 +1,4 @@
-"""The code graph as versioned snapshots: upserts, file replacement and removal.
+"""The graph of symbols as versioned snapshots: upserts, file replacement and removal.
 
 A snapshot is a set of Parquet folders named by one manifest. A change is
 computed as a DataFrame, written under fresh names and published at once, so a
