@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.names import matches_any, segments
 from ..model import HIGH_KINDS, USAGE_KINDS, DeadCodeConfig, FlowConfig, RiskConfig, confidence_rank
+from ..runtime import numbered
 
 # What marks an entry point.
 CALLABLE_KINDS = ["function", "method", "class", "struct"]
@@ -146,24 +147,22 @@ def risk_files(scores: DataFrame) -> DataFrame:
 def risk_stats(scores: DataFrame) -> DataFrame:
     """Number of symbols and files, mean, median and p90 (the value at position ceil(0.9 n), counted from 0, at most the last).
 
-    Exact order statistics from value counts: equal scores are counted first,
-    and the running count is taken over distinct values only.
+    The order statistics are exact: scores are numbered in order, and the wanted positions picked.
     """
-    counted = scores.groupBy("composite").agg(F.count(F.lit(1)).alias("n"), F.sum("composite").alias("s"))
-    upto = Window.partitionBy(F.lit(0)).orderBy("composite").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(F.lit(0))
-    placed = counted.select("composite", "s", F.sum("n").over(upto).alias("last"), F.sum("n").over(whole).alias("total"))
+    totals = scores.agg(
+        F.count(F.lit(1)).alias("symbols_scored"),
+        F.count_distinct("file_path").alias("files_scored"),
+        F.coalesce(F.round(F.avg("composite"), 6), F.lit(0.0)).alias("avg_risk"),
+    ).withColumn("one", F.lit(1))
+    n = F.col("symbols_scored")
+    placed = numbered(scores.select("composite"), ["composite"], "at", first=0).withColumn("one", F.lit(1)).join(F.broadcast(totals), "one")
 
     def value_at(position: Column) -> Column:
-        return F.min(F.when(F.col("last") > position, F.col("composite")))
-
-    total = F.col("total")
-    half, ninety = F.floor(total / 2), F.least(F.ceil(total * 0.9), total - 1)
-    stats = placed.agg(
-        F.coalesce(F.max("total"), F.lit(0)).alias("symbols_scored"),
-        F.coalesce(F.round(F.try_divide(F.sum("s"), F.max("total")), 6), F.lit(0.0)).alias("avg_risk"),
-        F.coalesce(F.round((value_at(F.floor((total - 1) / 2)) + value_at(half)) / 2, 6), F.lit(0.0)).alias("median_risk"),
-        F.coalesce(F.round(value_at(ninety), 6), F.lit(0.0)).alias("p90_risk"),
+        return F.min(F.when(F.col("at") == position, F.col("composite")))
+
+    picked = placed.agg(
+        ((value_at(F.floor((n - 1) / 2)) + value_at(F.floor(n / 2))) / 2).alias("median"), value_at(F.least(F.ceil(n * 0.9), n - 1)).alias("p90")
     )
-    n_files = scores.agg(F.count_distinct("file_path").alias("files_scored"))
-    return stats.withColumn("one", F.lit(1)).join(n_files.withColumn("one", F.lit(1)), "one").drop("one")
+    both = totals.join(picked.withColumn("one", F.lit(1)), "one").drop("one")
+    rounded = {"median_risk": F.coalesce(F.round("median", 6), F.lit(0.0)), "p90_risk": F.coalesce(F.round("p90", 6), F.lit(0.0))}
+    return both.withColumns(rounded).drop("median", "p90")

@@ -10,11 +10,11 @@ community is connected.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.names import file_stem
 from ..model import HIGH_KINDS, CommunityConfig
-from ..runtime import materialize
+from ..runtime import materialize, numbered
 from .components import connected_components
 
 # File stems too common to name a community.
@@ -65,7 +65,7 @@ def detect(symbols: DataFrame, edges: DataFrame, config: CommunityConfig = Commu
     total = float(base.agg(F.sum("weight")).first()[0] or 0)
     spark = edges.sparkSession
     if not total:
-        return spark.createDataFrame([], "qualified_name string, community_id int, n_members bigint")
+        return spark.createDataFrame([], "qualified_name string, community_id bigint, n_members bigint")
     links = base
     member = None
     for level in range(config.max_rounds):
@@ -100,8 +100,8 @@ def _connected(links: DataFrame, member: DataFrame) -> DataFrame:
 
 def _numbered(member: DataFrame, min_size: int) -> DataFrame:
     sizes = member.groupBy("community").agg(F.count(F.lit(1)).alias("n_members")).where(F.col("n_members") >= min_size)
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("n_members"), "community")) - 1
-    return member.join(sizes.withColumn("community_id", place), "community").select(F.col("node").alias("qualified_name"), "community_id", "n_members")
+    placed = numbered(sizes, [F.desc("n_members"), "community"], "community_id", first=0)
+    return member.join(placed, "community").select(F.col("node").alias("qualified_name"), "community_id", "n_members")
 
 
 def cards(partition: DataFrame, links: DataFrame, resolution: float = 1.0) -> DataFrame:

@@ -17,6 +17,7 @@ from ..operators.symbolgraph import (
     table_counts,
 )
 from ..operators.traversal import bfs, dfs_order, reachable
+from ..runtime import materialize
 from .common import edges, files, sql_list, symbols, with_graph
 
 #: A symbol of the shared libraries that exists at every scale.
@@ -125,8 +126,13 @@ def _callers_first(graph: DataFrame, n: int = 5) -> DataFrame:
     return graph.where(F.col("kind") == "calls").select(F.col("source").alias("start")).distinct().orderBy("start").limit(n)
 
 
+def _graph(spark, sf, rank=0) -> DataFrame:
+    """Edges of at least a rank, written once for all hops."""
+    return materialize(at_least(edges(spark, sf), rank), "edges")[0]
+
+
 def _walk(spark, sf, direction, depth, rank=0):
-    graph = at_least(edges(spark, sf), rank)
+    graph = _graph(spark, sf, rank)
     starts = _callers_first(graph) if direction == "forward" else _starts(spark, STARTS)
     found = bfs(graph, starts, direction, depth)
     return found.select("start", "node", "depth", "edge_kind", F.concat_ws(" > ", "path").alias("path"))
@@ -149,7 +155,7 @@ def bfs_zero_depth(spark, sf):
 
 
 def blast_radius(spark, sf):
-    graph = edges(spark, sf)
+    graph = _graph(spark, sf)
     found = bfs(graph, _callers_first(graph), "forward", 4)
     rank = confidence_rank(F.col("edge_kind"))
     return found.select(F.col("start").alias("target"), "node", "depth", rank.alias("confidence_rank"))
@@ -159,16 +165,16 @@ def diff_impact(spark, sf):
     """Blast radius of all symbols that a diff touches."""
     own = symbols(spark, sf, "file_path", "line_start", "line_end")
     touched = changed_symbols(own, diff_hunks(spark, sf)).select(F.col("qualified_name").alias("start"))
-    return bfs(at_least(edges(spark, sf), 1), touched, "forward", 2).select(F.col("start").alias("target"), "node", "depth")
+    return bfs(_graph(spark, sf, 1), touched, "forward", 2).select(F.col("start").alias("target"), "node", "depth")
 
 
 def dfs_reachable(spark, sf):
-    graph = at_least(edges(spark, sf), 3)
+    graph = _graph(spark, sf, 3)
     return reachable(graph, _callers_first(graph), "forward")
 
 
 def dfs_preorder(spark, sf):
-    graph = at_least(edges(spark, sf), 3)
+    graph = _graph(spark, sf, 3)
     return dfs_order(graph, _callers_first(graph), "forward")
 
 

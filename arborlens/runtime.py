@@ -11,7 +11,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 _SETTING = "spark.checkpoint.dir"
 
@@ -66,6 +66,22 @@ def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def numbered(df: DataFrame, order: list, name: str, first: int = 1) -> DataFrame:
+    """``df`` with a running number in a total order, without one task that sorts all rows.
+
+    Rows are range-partitioned and sorted; each partition's start follows from
+    the counts of those before it (one small row per partition).
+    """
+    local, whole = F.lit((1 << 33) - 1), Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    laid = df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id())
+    laid, _ = materialize(laid, "numbered")
+    part = F.shiftrightunsigned("_id", 33).alias("_part")
+    starts = laid.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
+    starts = starts.select("_part", F.coalesce(F.sum("_n").over(whole), F.lit(0)).alias("_start"))
+    both = laid.withColumn("_part", F.shiftrightunsigned("_id", 33)).join(starts, "_part")
+    return both.withColumn(name, F.col("_start") + F.col("_id").bitwiseAND(local) + first).drop("_part", "_id", "_start")
+
+
 def task_count(spark: SparkSession) -> int:
     """Tasks that a balanced stage should have: the session's shuffle partitions."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
