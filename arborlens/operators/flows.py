@@ -20,9 +20,6 @@ from ..model import HIGH_KINDS, FlowConfig
 from ..runtime import materialize, new_path, task_count
 from .traversal import reachable
 
-_FLOW = "entry string, path array<string>, depth bigint"
-
-
 def high_edges(edges: DataFrame) -> DataFrame:
     return edges.where(F.col("kind").isin(HIGH_KINDS))
 
@@ -47,7 +44,6 @@ def capped_flows(entries: DataFrame, edges: DataFrame, config: FlowConfig = Flow
 
 
 def _flows(entries: DataFrame, edges: DataFrame, max_depth: int, cap: int | None) -> DataFrame:
-    spark = edges.sparkSession
     steps = high_edges(edges).select(F.col("source").alias("a"), F.col("target").alias("b"), "edge_id")
     if cap is None:
         steps, _ = materialize(steps, "flow-steps")
@@ -73,7 +69,7 @@ def _flows(entries: DataFrame, edges: DataFrame, max_depth: int, cap: int | None
             paths = first.where(F.col("path").isNotNull())
     done.append(paths)
     flows = reduce(DataFrame.unionByName, done)
-    return flows.select("entry", "path", F.size("path").cast("long").alias("depth"), "position", "way") if done else spark.createDataFrame([], _FLOW)
+    return flows.select("entry", "path", F.size("path").cast("long").alias("depth"), "position", "way")
 
 
 def flow_counts(flows: DataFrame) -> DataFrame:
