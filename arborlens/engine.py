@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions.names import extension
+from .functions.vectors import utc_text
 from .model import EngineConfig, RiskConfig, confidence_rank, parse_confidence
 from .operators import analysis, clones, communities, flows, search
 from .operators.evaluate import blast_scores, category_means, precision_at, ranked, reciprocal_ranks
@@ -119,6 +120,46 @@ class Engine:
             counts = counts.unionByName(by.select(F.concat(F.lit(f"{label}: "), F.coalesce(column, F.lit("none"))).alias("table_name"), "n"))
         return counts
 
+    def stats_card(self, sources: DataFrame | None = None, central_limit: int | None = 5000, clone_limit: int | None = 10_000) -> DataFrame:
+        """``measure, value``: risk and flow figures, and clones if ``sources`` are given.
+
+        Centrality and risk are left out above ``central_limit`` symbols, clones
+        above ``clone_limit``; None sets no limit.
+        """
+        n = self.symbols.count()
+        rows = [("symbols", float(n))]
+        if central_limit is None or n <= central_limit:
+            risk = analysis.risk_stats(self.risk()).first()
+            rows += [(k, float(risk[k])) for k in ("avg_risk", "median_risk", "p90_risk", "files_scored")]
+            seen = flows.flow_stats(self.flows()).first()
+            rows += [(k, float(seen[k])) for k in ("n_flows", "n_entries", "max_depth", "avg_depth")]
+        if sources is not None and (clone_limit is None or n <= clone_limit):
+            prints = clones.fingerprints(self.symbols, self.edges, self.config.clones)
+            classes, _ = materialize(clones.clone_classes(prints, sources), "clone-classes")
+            pairs, _ = materialize(clones.clone_pairs(classes, self.config.clones), "clone-pairs")
+            found = clones.clone_summary(prints, clones.clone_clusters(classes, pairs), clones.clone_links(classes, pairs)).first()
+            rows += [(k, float(found[k])) for k in ("n_clusters", "n_cloned", "duplication_pct")]
+        return self.spark.createDataFrame(rows, "measure string, value double")
+
+    def embed(self, store: GraphStore, embedder, provider: str) -> tuple[int, int]:
+        """Embed what is new or changed, drop vectors of vanished symbols; returns how many of each.
+
+        ``embedder`` is a column function from text to vector, such as ``search.hash_embedder()``.
+        """
+        texts, _ = materialize(search.symbol_texts(self.symbols, self.edges), "texts")
+        stored = store.read("embeddings")
+        wanted, _ = materialize(search.texts_to_embed(texts, stored), "to-embed")
+        orphans, _ = materialize(search.orphan_embeddings(stored, self.symbols), "orphans")
+        rows = wanted.select(
+            "qualified_name", embedder(F.col("text")).alias("vector"), "text_hash", F.lit(provider).alias("provider"), utc_text(F.unix_timestamp()).alias("created_at")
+        )
+        n_new, n_gone = wanted.count(), orphans.count()
+        if n_new:
+            store.store_embeddings(rows)
+        if n_gone:
+            store.remove_embeddings(orphans)
+        return n_new, n_gone
+
     def search_suite(self, queries: DataFrame, limit: int = 20) -> DataFrame:
         """Mean reciprocal rank and precision by category of ``queries`` (query_id, query, expected, category)."""
         listed = queries.select("query_id", "query", "expected", "category").collect()

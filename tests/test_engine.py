@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from arborlens.config import load_config
 from arborlens.engine import Engine, compact_lines, json_lines, source_files, target_kind
 from arborlens.model import EngineConfig
+from arborlens.operators.search import hash_embedder
 from arborlens.runtime import new_path, numbered
 from arborlens.sources.store import GraphStore
 from arborlens.sources.suites import read_manifest, read_queries, read_scenarios
@@ -53,6 +54,18 @@ def test_commands(engine, spark):
     assert source_files(spark.createDataFrame([("a.py",), ("b.md",)], "path string")).count() == 1
 
 
+def test_card_and_embedding(engine, spark):
+    texts = spark.createDataFrame(list(SOURCES.items()), "path string, content string")
+    card = {r.measure: r.value for r in engine.stats_card(texts).collect()}
+    assert card["symbols"] == 6 and card["n_clusters"] == 1 and card["n_flows"] >= 1
+    assert {r.measure for r in engine.stats_card(central_limit=1).collect()} == {"symbols"}
+    store = GraphStore(spark, new_path(spark, "vectors"))
+    store.store_embeddings(spark.createDataFrame([("gone", [1.0], "h", "p", "2020")], store.read("embeddings").schema))
+    assert engine.embed(store, hash_embedder(8), "hash") == (6, 1)
+    assert engine.embed(store, hash_embedder(8), "hash") == (0, 0)
+    assert {len(r.vector) for r in store.read("embeddings").collect()} == {8} and store.read("embeddings").count() == 6
+
+
 def test_suites(engine, spark, tmp_path):
     (tmp_path / "m.json").write_text(json.dumps({"suite": {"name": "s", "description": ""}, "repos": [{"name": "r", "url": "u", "revision": "1", "languages": ["python"]}]}))
     (tmp_path / "q.json").write_text(json.dumps({"queries": [{"repo": "r", "query": "helper", "expected": ["app/util.py::helper"]}, {"repo": "r", "query": "nothing", "expected": ["x"], "category": "c"}]}))
