@@ -8,7 +8,7 @@ from ..operators.communities import cards, detect, modularity, names, stats, wei
 from ..runtime import materialize
 from ..sources import changes
 from .common import edges, symbols, with_graph
-from .lookups import diff_hunks
+from .lookups import diff_hunks, long_span_hunks
 
 
 def _graph(spark, sf):
@@ -51,18 +51,27 @@ def communities(spark, sf):
     return detect(symbols(spark, sf, "kind"), edges(spark, sf))
 
 
-def parsed_diffs(spark, sf):
-    """The hunks of ``diff_changed_symbols`` written as one diff per file, and parsed back."""
-    spans = diff_hunks(spark, sf).where(F.col("file").isNotNull())
+def _parsed(hunks):
+    """Hunks written as one diff per file, and parsed back."""
+    spans = hunks.where(F.col("file").isNotNull())
     header = F.format_string("@@ -%d,%d +%d,%d @@ x", F.col("new_start"), F.col("new_count"), F.col("new_start"), F.col("new_count"))
     per = spans.groupBy("file").agg(F.array_join(F.array_sort(F.collect_list(header)), "\n+ line\n").alias("body"))
     text = F.concat(F.lit("diff --git a/"), "file", F.lit(" b/"), "file", F.lit("\nindex 1..2\n"), "body")
     return changes.diff_hunks(per.select(F.col("file").alias("diff_id"), text.alias("text"))).drop("diff_id")
 
 
+def parsed_diffs(spark, sf):
+    return _parsed(long_span_hunks(spark, sf))
+
+
+def parsed_diffs_all(spark, sf):
+    """The hunks of every span of more than one line."""
+    return _parsed(diff_hunks(spark, sf))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (community_weights, community_modularity, community_cards, community_names, community_stats, communities, parsed_diffs)
+    for f in (community_weights, community_modularity, community_cards, community_names, community_stats, communities, parsed_diffs, parsed_diffs_all)
 }
 
 _BASE = f"""{with_graph("sym", "edg")}, lin AS (SELECT least(source, target) AS lo, greatest(source, target) AS hi, count(*) AS weight FROM edg
