@@ -139,18 +139,24 @@ def diff_changed_symbols_all(spark, sf):
 
 
 def _callers_first(graph: DataFrame, n: int = 5) -> DataFrame:
-    """The ``n`` smallest names that call something, as starts of forward searches."""
+    """The ``n`` smallest names that call something, as the SQL of forward searches states; at sf0.1 none is a symbol."""
     return graph.where(F.col("kind") == "calls").select(F.col("source").alias("start")).distinct().orderBy("start").limit(n)
 
 
+def _every_symbol(spark, sf) -> DataFrame:
+    """All current symbols, as starts of the forward searches ``*_all``."""
+    return symbols(spark, sf, "name").select(F.col("qualified_name").alias("start"))
+
+
 def _graph(spark, sf, rank=0) -> DataFrame:
     """Edges of at least a rank, written once for all hops."""
     return materialize(at_least(edges(spark, sf), rank), "edges")[0]
 
 
-def _walk(spark, sf, direction, depth, rank=0):
+def _walk(spark, sf, direction, depth, rank=0, starts=None):
     graph = _graph(spark, sf, rank)
-    starts = _callers_first(graph) if direction == "forward" else _starts(spark, STARTS)
+    if starts is None:
+        starts = _callers_first(graph) if direction == "forward" else _starts(spark, STARTS)
     found = bfs(graph, starts, direction, depth)
     return found.select("start", "node", "depth", "edge_kind", F.concat_ws(" > ", "path").alias("path"))
 
@@ -171,13 +177,29 @@ def bfs_zero_depth(spark, sf):
     return _walk(spark, sf, "forward", 0)
 
 
-def blast_radius(spark, sf):
-    graph = _graph(spark, sf)
-    found = bfs(graph, _callers_first(graph), "forward", 4)
+def bfs_forward_d3_all(spark, sf):
+    return _walk(spark, sf, "forward", 3, starts=_every_symbol(spark, sf))
+
+
+def bfs_zero_depth_all(spark, sf):
+    return _walk(spark, sf, "forward", 0, starts=_every_symbol(spark, sf))
+
+
+def _blast(graph, starts):
+    found = bfs(graph, starts, "forward", 4)
     rank = confidence_rank(F.col("edge_kind"))
     return found.select(F.col("start").alias("target"), "node", "depth", rank.alias("confidence_rank"))
 
 
+def blast_radius(spark, sf):
+    graph = _graph(spark, sf)
+    return _blast(graph, _callers_first(graph))
+
+
+def blast_radius_all(spark, sf):
+    return _blast(_graph(spark, sf), _every_symbol(spark, sf))
+
+
 def diff_impact(spark, sf):
     """Blast radius of the symbols that the hunks of long spans touch."""
     touched = _touched(spark, sf, long_span_hunks(spark, sf)).select(F.col("qualified_name").alias("start"))
@@ -195,6 +217,10 @@ def dfs_reachable(spark, sf):
     return reachable(graph, _callers_first(graph), "forward")
 
 
+def dfs_reachable_all(spark, sf):
+    return reachable(_graph(spark, sf, 3), _every_symbol(spark, sf), "forward")
+
+
 def dfs_preorder(spark, sf):
     graph = _graph(spark, sf, 3)
     return dfs_order(graph, _callers_first(graph), "forward")
@@ -205,7 +231,7 @@ QUERIES = {
     for f in (
         all_files, all_symbols, all_edges, graph_stats, degree_by_kind, edges_by_confidence, edges_medium_up, find_exact, find_prefix,
         find_card, refs, callers, callees, get_file, get_symbol, symbols_for_files, file_languages, name_parts, diff_changed_symbols,
-        diff_changed_symbols_all, diff_impact_all,
+        diff_changed_symbols_all, diff_impact_all, bfs_forward_d3_all, bfs_zero_depth_all, blast_radius_all, dfs_reachable_all,
         bfs_forward_d3, bfs_backward_d2, bfs_high_conf, bfs_zero_depth, blast_radius, diff_impact, dfs_reachable, dfs_preorder,
     )
 }

@@ -63,3 +63,20 @@ def test_impact_of_every_span(spark, graph):
     kept = {(r.kind, r.source, r.target) for r in lookups._graph(spark, folder, 1).collect()}
     want = set().union(*(brute_reach(kept, q, 2) for q, _ in brute_touched(spans)))
     assert {tuple(r) for r in lookups.diff_impact_all(spark, folder).select("target", "node", "depth").collect()} == want
+
+
+def kept_edges(spark, folder, rank):
+    return {(r.kind, r.source, r.target) for r in lookups._graph(spark, folder, rank).collect()}
+
+
+def test_searches_from_every_symbol(spark, graph):
+    folder, spans, links = graph
+    names = [q for q, *_ in spans]
+    wide = kept_edges(spark, folder, 0)
+    for query, depth in ((lookups.bfs_forward_d3_all, 3), (lookups.bfs_zero_depth_all, 1), (lookups.blast_radius_all, 4)):
+        want = set().union(*(brute_reach(wide, q, depth) for q in names))
+        found = query(spark, folder)
+        assert {tuple(r) for r in found.select(found.columns[0], "node", "depth").collect()} == want
+    high = kept_edges(spark, folder, 3)
+    want = set(names).union(*({n for _, n, _ in brute_reach(high, q, 99)} for q in names))
+    assert {r.node for r in lookups.dfs_reachable_all(spark, folder).collect()} == want
