@@ -2,7 +2,8 @@ import random
 
 import pytest
 
-from arborlens.plans import groups, lookups
+from arborlens.model import HIGH_KINDS
+from arborlens.plans import groups, lookups, searches
 
 SYMBOLS = (
     "symbol_id bigint, qualified_name string, name string, kind string, file_path string, line_start bigint, line_end bigint, visibility string, "
@@ -80,3 +81,18 @@ def test_searches_from_every_symbol(spark, graph):
     high = kept_edges(spark, folder, 3)
     want = set(names).union(*({n for _, n, _ in brute_reach(high, q, 99)} for q in names))
     assert {r.node for r in lookups.dfs_reachable_all(spark, folder).collect()} == want
+
+
+def test_scores_of_every_source(spark, graph):
+    folder, spans, links = graph
+    high = [e for e in links if e[0] in HIGH_KINDS]
+    want = {}
+    for start in {a for _, a, _ in high}:
+        near = {n for _, n, _ in brute_reach(links, start, 2)}
+        sure = {n for _, n, _ in brute_reach(high, start, 3)}
+        good = len(near & sure)
+        want[start] = (round(good / len(near), 6) if near else 0, round(good / len(sure), 6) if sure else 0)
+    assert len(want) > 20
+    assert {r.scenario: (r.precision, r.recall) for r in searches.eval_blast_all(spark, folder).collect()} == want
+    p, r = (sum(v[i] for v in want.values()) / len(want) for i in (0, 1))
+    assert tuple(searches.eval_blast_f1_all(spark, folder).first()) == pytest.approx((p, r, 2 * p * r / (p + r)), abs=1e-5)
