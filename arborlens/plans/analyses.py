@@ -91,6 +91,7 @@ def risk_summary(spark, sf):
 
 
 def _roots(own, links):
+    """The entries that the SQL of the flows states: without tests and commands; the queries ``*_entries_d4`` take all."""
     return entry_points(own, links).where(F.col("entry_kind").isin("public_root", "http_handler", "main"))
 
 
@@ -115,6 +116,29 @@ def flows_through_target(spark, sf):
     return found.select("entry", F.concat_ws(" > ", "path").alias("path"), "depth")
 
 
+def _entry_flows(spark, sf):
+    own, links = _graph(spark, sf)
+    return flow_paths(entry_points(own, links), links, 4)
+
+
+def flow_paths_entries_d4(spark, sf):
+    return _entry_flows(spark, sf).select("entry", F.concat_ws(" > ", "path").alias("path"), "depth")
+
+
+def flow_totals_entries_d4(spark, sf):
+    return flow_stats(_entry_flows(spark, sf))
+
+
+def flow_node_counts_entries_d4(spark, sf):
+    return flow_counts(_entry_flows(spark, sf))
+
+
+def flows_through_target_entries_d4(spark, sf):
+    own, links = _graph(spark, sf)
+    found = flows_through(TARGET, entry_points(own, links), links, 4)
+    return found.select("entry", F.concat_ws(" > ", "path").alias("path"), "depth")
+
+
 def flows_capped(spark, sf):
     own, links = _graph(spark, sf)
     return capped_flows(entry_points(own, links), links).select("entry", F.concat_ws(" > ", "path").alias("path"), "depth")
@@ -147,6 +171,7 @@ QUERIES = {
             entry_point_counts, dead_layer_counts, dead_symbols, dead_by_kind, dead_by_file, dead_totals, coupling_scores, test_gap,
             sensitive_names, risk_symbols, risk_by_file, risk_summary, flow_paths_d4, flow_totals, flow_node_counts,
             flows_through_target, flows_capped, betweenness_all, criticality_rank, risk_full,
+            flow_paths_entries_d4, flow_totals_entries_d4, flow_node_counts_entries_d4, flows_through_target_entries_d4,
         )
     },
 }

@@ -1,9 +1,10 @@
 import random
+from collections import Counter
 
 import pytest
 
 from arborlens.model import HIGH_KINDS
-from arborlens.plans import groups, lookups, searches
+from arborlens.plans import analyses, groups, lookups, searches
 
 SYMBOLS = (
     "symbol_id bigint, qualified_name string, name string, kind string, file_path string, line_start bigint, line_end bigint, visibility string, "
@@ -96,3 +97,29 @@ def test_scores_of_every_source(spark, graph):
     assert {r.scenario: (r.precision, r.recall) for r in searches.eval_blast_all(spark, folder).collect()} == want
     p, r = (sum(v[i] for v in want.values()) / len(want) for i in (0, 1))
     assert tuple(searches.eval_blast_f1_all(spark, folder).first()) == pytest.approx((p, r, 2 * p * r / (p + r)), abs=1e-5)
+
+
+def test_flows_of_every_entry(spark, graph):
+    folder, spans, links = graph
+    near = [(a, b) for k, a, b in links if k in HIGH_KINDS]
+    kinds = {r.qualified_name: r.entry_kind for r in analyses.entries(spark, folder).collect()}
+    assert "test" in kinds.values()
+    want, open_paths = [], [[q] for q in kinds]
+    while open_paths:
+        path = open_paths.pop()
+        grown = [[*path, b] for a, b in near if a == path[-1] and b not in path] if len(path) < 4 else []
+        open_paths += grown
+        if not grown:
+            want.append((path[0], " > ".join(path), len(path)))
+    assert sorted(tuple(r) for r in analyses.flow_paths_entries_d4(spark, folder).collect()) == sorted(want)
+    totals = analyses.flow_totals_entries_d4(spark, folder).first()
+    assert (totals.n_flows, totals.n_entries, totals.max_depth) == (len(want), len(kinds), max(d for *_, d in want))
+    counts = Counter(n for _, path, _ in want for n in path.split(" > "))
+    assert {r.node: r.n_flows for r in analyses.flow_node_counts_entries_d4(spark, folder).collect()} == counts
+    target = "f1.py::s01"
+    analyses.TARGET, old = target, analyses.TARGET
+    try:
+        got = sorted(tuple(r) for r in analyses.flows_through_target_entries_d4(spark, folder).collect())
+    finally:
+        analyses.TARGET = old
+    assert got == sorted(w for w in want if target in w[1].split(" > "))
