@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.incremental import KeyedState, replay_runs
 from ..operators.resolve import resolve_all
-from ..runtime import materialize
+from ..runtime import materialize, new_path
 from ..sources.extract import extract, part
 from ..sources.store import upsert, without_files
 from ..sources.tables import read_table
 from ..streaming.maintain import dependents
 from .common import edges, files, symbols, with_graph
+from .problems import file_deliveries, run_log
 
 GO_MODULE = "marrowfield.example"
 
@@ -32,19 +34,49 @@ def resolved_edges(spark, sf):
     return resolve_all(_found(spark, sf), read_table(spark, sf, "sources").select("path"), GO_MODULE)
 
 
+def _libs(spark, sf):
+    """The shared libraries, which the SQL states in place of changed files."""
+    return files(spark, sf).where(F.startswith("path", F.lit("libs/"))).select("path")
+
+
 def _changed(spark, sf):
     """Files that were delivered with another content in the last run that delivered any."""
-    return files(spark, sf).where(F.startswith("path", F.lit("libs/"))).select("path")
+    state = KeyedState(spark, new_path(spark, "changed-state"))
+    runs = replay_runs(state, run_log(spark, sf), file_deliveries(spark, sf), new_path(spark, "changed-deliveries"))
+    for _, rows in reversed(runs):
+        changed = rows.where(F.col("change") == "changed").select(F.col("record_key").alias("path"))
+        if not changed.isEmpty():
+            return changed
+    return spark.createDataFrame([], "path string")
+
+
+def _dependents(spark, sf, changed):
+    return dependents(symbols(spark, sf, "file_path"), edges(spark, sf), changed)
+
+
+def _edges_without(spark, sf, gone):
+    _, left = without_files(symbols(spark, sf, "file_path"), edges(spark, sf), gone)
+    return left
 
 
 def incremental_dependents(spark, sf):
-    return dependents(symbols(spark, sf, "file_path"), edges(spark, sf), _changed(spark, sf))
+    """Files that depend on the shared libraries."""
+    return _dependents(spark, sf, _libs(spark, sf))
+
+
+def incremental_dependents_last_run(spark, sf):
+    """Files that depend on what the last run changed."""
+    return _dependents(spark, sf, _changed(spark, sf))
 
 
 def removed_file_edges(spark, sf):
     """Edges that stay when the shared libraries are taken out."""
-    _, left = without_files(symbols(spark, sf, "file_path"), edges(spark, sf), _changed(spark, sf))
-    return left
+    return _edges_without(spark, sf, _libs(spark, sf))
+
+
+def removed_file_edges_last_run(spark, sf):
+    """Edges that stay when what the last run changed is taken out."""
+    return _edges_without(spark, sf, _changed(spark, sf))
 
 
 def upserted_files(spark, sf):
@@ -57,8 +89,12 @@ def upserted_files(spark, sf):
 
 
 QUERIES = {
-    f.__name__: f for f in (extracted_symbols, extracted_imports, resolved_edges, incremental_dependents, removed_file_edges, upserted_files)
-}
+    f.__name__: f
+    for f in (
+        extracted_symbols, extracted_imports, resolved_edges, incremental_dependents, removed_file_edges, upserted_files,
+        incremental_dependents_last_run, removed_file_edges_last_run,
+    )
+}
 _LIBS = "lib AS (SELECT path FROM fil WHERE starts_with(path, 'libs/')), own AS (SELECT qualified_name FROM sym WHERE file_path IN (SELECT path FROM lib))"
 ORACLE = {
     "incremental_dependents": with_graph("fil", "sym", "edg")

@@ -13,15 +13,25 @@ from ..runtime import new_path
 from ..sources.tables import read_table
 
 
-def changed_by_run(spark: SparkSession, sf: str) -> DataFrame:
+def file_deliveries(spark: SparkSession, sf: str) -> DataFrame:
+    """The files feed as deliveries of ``replay_runs``."""
     files = read_table(spark, sf, "files").where(F.col("hash").isNotNull() & F.col("updated_at").isNotNull())
-    files = files.select(
+    return files.select(
         F.lit("files").alias("table_name"),
         F.col("path").alias("record_key"),
         epoch_seconds(F.col("updated_at")).alias("stamp"),
         F.unhex(F.sha2(digest(F.col("hash")), 256)).alias("content_hash"),
         "load_id",
     )
+
+
+def run_log(spark: SparkSession, sf: str) -> list[tuple[int, bool]]:
+    """Index runs and whether they succeeded."""
+    return [(r["run_id"], r["status"] == "succeeded") for r in read_table(spark, sf, "index_runs").collect()]
+
+
+def changed_by_run(spark: SparkSession, sf: str) -> DataFrame:
+    files = file_deliveries(spark, sf)
     symbols = read_table(spark, sf, "symbols").where(F.col("updated_at").isNotNull())
     stamp = epoch_seconds(F.col("updated_at"))
     symbols = symbols.select(
@@ -31,9 +41,8 @@ def changed_by_run(spark: SparkSession, sf: str) -> DataFrame:
         F.unhex(F.sha2(stamp.cast("string"), 256)).alias("content_hash"),
         "load_id",
     )
-    runs = [(r["run_id"], r["status"] == "succeeded") for r in read_table(spark, sf, "index_runs").collect()]
     state = KeyedState(spark, new_path(spark, "index-state"))
-    found = replay_runs(state, runs, files.unionByName(symbols), new_path(spark, "deliveries"))
+    found = replay_runs(state, run_log(spark, sf), files.unionByName(symbols), new_path(spark, "deliveries"))
     result = spark.createDataFrame([], "table_name string, run_id bigint, record_key string")
     for run, rows in found[1:]:
         result = result.unionByName(rows.select("table_name", F.lit(run).cast("long").alias("run_id"), "record_key"))

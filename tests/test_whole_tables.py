@@ -4,7 +4,7 @@ from collections import Counter
 import pytest
 
 from arborlens.model import HIGH_KINDS
-from arborlens.plans import analyses, groups, lookups, searches
+from arborlens.plans import analyses, groups, ingest, lookups, searches
 
 SYMBOLS = (
     "symbol_id bigint, qualified_name string, name string, kind string, file_path string, line_start bigint, line_end bigint, visibility string, "
@@ -123,3 +123,25 @@ def test_flows_of_every_entry(spark, graph):
     finally:
         analyses.TARGET = old
     assert got == sorted(w for w in want if target in w[1].split(" > "))
+
+
+def test_changed_files_of_the_last_run(spark, graph, tmp_path):
+    folder, spans, links = graph
+    feed = [
+        ("f0.py", "aa", 1, 1), ("f1.py", "aa", 1, 1), ("f2.py", "aa", 1, 1), ("f3.py", "aa", 1, 1),
+        ("f1.py", "bb", 2, 2),  # changed in an earlier run
+        ("f2.py", "cc", 3, 3),  # its run failed, so it waits for run 4
+        ("f3.py", "SHA256:AA", 9, 4), ("f0.py", "dd", 0, 4),  # touched only; older than the state
+        ("f9.py", "ee", 5, 5),  # new, not changed
+    ]
+    for name in ("symbols", "edges"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"{folder}/{name}.parquet")
+    spark.createDataFrame([(p, "Python", *r) for p, *r in feed], "path string, language string, hash string, updated_at bigint, load_id bigint").write.parquet(f"{tmp_path}/files.parquet")
+    runs = [(1, "succeeded"), (2, "succeeded"), (3, "failed"), (4, "succeeded"), (5, "succeeded")]
+    spark.createDataFrame(runs, "run_id bigint, status string").write.parquet(f"{tmp_path}/index_runs.parquet")
+    home = {q: f for q, f, *_ in spans}
+    want = {home[a] for _, a, b in links if home.get(b) == "f2.py" and a in home} - {"f2.py"}
+    assert want and {r.path for r in ingest.incremental_dependents_last_run(spark, str(tmp_path)).collect()} == want
+    left = {(k, a, b) for k, a, b in links if "f2.py" not in (home.get(a), home.get(b))}
+    got = ingest.removed_file_edges_last_run(spark, str(tmp_path)).select("kind", "source", "target")
+    assert {tuple(r) for r in got.collect()} == left
