@@ -53,6 +53,9 @@ SURE, STRONG, FAIR, SLIGHT = 9.0, 5.0, 2.5, 1.0
 UNSEEN = [0.0, -2.5, -6.0, -2.5, -6.0]
 
 _COMMENT = re.compile(r"^\s*(?://+[!/]?|#+!?|/\*+!?|\*+/?|--+|;+|<!--|%+|\"\"\"|''')\s?(.*?)\s*(?:\*/|-->)?\s*$")
+#: How a comment opens in a long line; code of minified files may begin with the bare marks.
+_OPENING = re.compile(r"^\s*(?://+[!/]?|#+!?|/\*+!?|<!--|\"\"\"|\'\'\'|(?:\*+/?|--+|;+|%+)(?=\s))\s?")
+_CLOSING = {"/*": "*/", "<!": "-->"}
 _TOOL_NOTICE = re.compile(
     r"^(?:@generated\b|<?auto-?generated\b|(?:this (?:file|code) (?:is|was|has been) )?(?:code |file |source )?(?:auto(?:matically)?[- ])?generated (?:by|from|with|using)\b"
     r"|(?:produced|created|written|made|emitted|compiled) automatically\b|automatically (?:produced|created|written|made|emitted|generated)\b"
@@ -98,6 +101,17 @@ def _split_name(path: str) -> tuple[list[str], str]:
     return folders, stem
 
 
+def _comment(line: str) -> str | None:
+    """Text of a comment line; of a long line only the comment it opens with, as code may follow."""
+    if len(line) <= 400:
+        return m[1] if (m := _COMMENT.match(line)) else None
+    if not (m := _OPENING.match(line)):
+        return None
+    closing = _CLOSING.get(line.lstrip()[:2])
+    text = line[m.end() :]
+    return (text.split(closing, 1)[0] if closing else text.rstrip().removesuffix("*/").removesuffix("-->")).strip()
+
+
 def file_evidence(path: str, content: bytes | None, style: HouseStyle = HouseStyle()) -> list[float]:
     """Log-likelihood of a file's content and name under each label, up to a constant.
 
@@ -113,14 +127,13 @@ def file_evidence(path: str, content: bytes | None, style: HouseStyle = HouseSty
     _, stem = _split_name(path)
     comments: list[tuple[int, str]] = []
     for i, line in enumerate(lines):
-        if len(line) <= 400 and (m := _COMMENT.match(line)):
-            comments.append((i, m[1]))
+        if (comment := _comment(line)) is not None:
+            comments.append((i, comment))
     head = []
     for i, comment in comments:
         if i > len(head) + 1:
             break
         head.append(comment)
-    head = head[:40]
     owner = any(o.lower() in c.lower() for o in style.owners for c in head)
     if any(_TOOL_NOTICE.match(c) for c in head) or any(_HANDS_OFF.search(c) and not _ELSEWHERE.search(c) for c in head):
         score[GENERATED] += SURE
