@@ -13,6 +13,11 @@ from ..runtime import new_path
 from ..sources.tables import read_table
 
 
+def _short_digest(spelled):
+    """The first 128 bits of a hexadecimal digest; of any other text those of its own."""
+    return F.unhex(F.when(spelled.rlike("^[0-9a-f]{64}$"), F.substring(spelled, 1, 32)).otherwise(F.md5(spelled)))
+
+
 def file_deliveries(spark: SparkSession, sf: str) -> DataFrame:
     """The files feed as deliveries of ``replay_runs``."""
     files = read_table(spark, sf, "files").where(F.col("hash").isNotNull() & F.col("updated_at").isNotNull())
@@ -20,7 +25,7 @@ def file_deliveries(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("files").alias("table_name"),
         F.col("path").alias("record_key"),
         epoch_seconds(F.col("updated_at")).alias("stamp"),
-        F.unhex(F.sha2(digest(F.col("hash")), 256)).alias("content_hash"),
+        _short_digest(digest(F.col("hash"))).alias("content_hash"),
         "load_id",
     )
 
@@ -38,7 +43,7 @@ def changed_by_run(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("symbols").alias("table_name"),
         F.col("qualified_name").alias("record_key"),
         stamp.alias("stamp"),
-        F.unhex(F.sha2(stamp.cast("string"), 256)).alias("content_hash"),
+        F.unhex(F.md5(stamp.cast("string"))).alias("content_hash"),
         "load_id",
     )
     state = KeyedState(spark, new_path(spark, "index-state"))

@@ -9,7 +9,7 @@ from arborlens.operators.incremental import KeyedState, digest, epoch_seconds, r
 from arborlens.operators.orphans import count_keys, orphan_keys, orphan_rows
 from arborlens.operators.skew import balanced_join, balanced_stats, plan_load
 from arborlens.runtime import new_path
-from arborlens.sources.versions import VersionConflict
+from arborlens.sources.versions import VersionConflict, VersionLog
 from pyspark.sql import functions as F
 
 FEED = "table_name string, record_key string, stamp bigint, content_hash binary, load_id bigint"
@@ -36,7 +36,7 @@ def test_new_changed_touched_late_and_repeated(spark):
     assert changes(s.apply(1, rows)) == [("a", "new"), ("b", "new"), ("n", "new")]
     assert changes(s.apply(2, feed(spark, [("a", 2, "x", 2), ("b", 4, "z", 2), ("n", 2, "h", 2)]))) == [("n", "changed")]
     assert changes(s.apply(3, feed(spark, [("a", 3, "w", 3), ("a", 2, "q", 3)]))) == [("a", "changed")]
-    assert changes(s.apply(3, feed(spark, [("z", 9, "w", 3)]))) == []
+    assert changes(s.apply(3, feed(spark, [("z", 9, "w", 3)]))) == [("a", "changed")]
     assert changes(s.apply(4, feed(spark, []))) == []
     assert {(r.record_key, r.stamp) for r in s.current().collect()} == {("a", 3), ("b", 5), ("n", 2)}
 
@@ -52,6 +52,49 @@ def test_a_run_that_dies_before_the_commit_is_repeated_in_full(spark):
     assert changes(again.apply(2, feed(spark, [("a", 2, "y", 2), ("b", 1, "z", 2)]))) == [("a", "changed"), ("b", "new")]
 
 
+def test_a_run_that_dies_after_the_commit_is_told_again(spark):
+    s = state(spark)
+    delivered = feed(spark, [("a", 1, "x", 1), ("b", 1, "z", 1)])
+    s.apply(1, delivered)
+    again = KeyedState(spark, s.root)
+    assert changes(again.apply(1, delivered)) == [("a", "new"), ("b", "new")]
+    for run in range(2, 8):
+        again.apply(run, feed(spark, [("a", run, f"x{run}", run), ("b", run, "z", run)]))
+    assert changes(KeyedState(spark, s.root).apply(1, delivered)) == [("a", "new"), ("b", "new")]
+    again.acknowledge(1)
+    again.acknowledge(1)
+    assert changes(KeyedState(spark, s.root).apply(1, delivered)) == []
+    assert again.vacuum() > 0
+    assert changes(again.output(5)) == [("a", "changed")]
+    assert {(r.record_key, r.stamp) for r in again.current().collect()} == {("a", 7), ("b", 7)}
+
+
+def test_a_run_that_dies_while_segments_are_merged(spark):
+    s = state(spark, buckets=3, max_segments=1)
+    s.apply(1, feed(spark, [("a", 1, "x", 1), ("b", 1, "z", 1)]))
+    newest, s._newest = s._newest, lambda *_: (_ for _ in ()).throw(OSError("lost"))
+    late = feed(spark, [("a", 2, "y", 2), ("c", 1, "z", 2)])
+    with pytest.raises(OSError):
+        s.apply(2, late)
+    again = KeyedState(spark, s.root, max_segments=1)
+    assert changes(again.apply(2, late)) == [("a", "changed"), ("c", "new")]
+    assert again.manifest().buckets == 3 and len(again.manifest().segments) == 1
+    assert again.vacuum() == 1
+
+
+def test_state_is_not_shuffled(spark):
+    s = state(spark)
+    s.apply(1, feed(spark, [(f"k{i}", 1, "x", 1) for i in range(500)]))
+    path, buckets = s.manifest().segments[0][0], s.manifest().buckets
+    plan = s._segment(path, buckets).groupBy("table_name", "record_key").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_file_systems_without_atomic_rename_are_refused(spark):
+    with pytest.raises(ValueError):
+        VersionLog(spark, new_path(spark, "log"), schemes=["hdfs"])
+
+
 def test_only_one_of_two_writers_commits(spark):
     s = state(spark)
     s.apply(1, feed(spark, [("a", 1, "x", 1)]))
@@ -65,7 +108,7 @@ def test_replay_against_brute_force(spark):
     unique = {(k, s): (k, s, h, load) for k, s, h, load in reversed(rows)}
     rows = list(unique.values())
     runs = [(i, i not in (3, 4, 7, 12)) for i in range(1, 13)]
-    got = {(run, r.record_key) for run, f in replay_runs(state(spark, compact_after=2), runs, feed(spark, rows), new_path(spark, "d")) for r in f.collect()}
+    got = {(run, r.record_key) for run, f in replay_runs(state(spark, buckets=5, max_segments=2), runs, feed(spark, rows), new_path(spark, "d")) for r in f.collect()}
     wanted, before = set(), {}
     for run, ok in runs:
         if ok:
