@@ -3,7 +3,7 @@ from collections import defaultdict
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from arborlens.llm.splitting import CutLimit, Cutter, _token_gap, candidates, safe_point, split_texts
+from arborlens.llm.splitting import CutLimit, Cutter, Stitcher, _following, _token_gap, candidates, safe_point, split_files, split_texts
 from arborlens.llm.tokens import Tokenizer, load
 
 TOKENIZER = Tokenizer()
@@ -51,16 +51,38 @@ TEXTS = {
 }
 
 
-@pytest.mark.parametrize("range_chars, halo", [(32_768, 4096), (1000, 200), (333, 64)])
-def test_pieces_hold_for_any_range(spark, range_chars, halo):
+@pytest.mark.parametrize("range_bytes", [1 << 20, 1000, 100, 16])
+def test_pieces_hold_for_any_range(spark, range_bytes):
     docs = spark.createDataFrame([(d, t, "clash") for d, t in TEXTS.items()], "doc_id bigint, text string, range_no string")
-    check({d: t for d, t in TEXTS.items()}, split_texts(docs, LIMITS, range_chars=range_chars, halo_chars=halo).collect())
+    check({d: t for d, t in TEXTS.items()}, split_texts(docs, LIMITS, range_bytes=range_bytes).collect())
 
 
-def test_ranges_do_not_change_the_cuts(spark):
-    docs = spark.createDataFrame([(1, PROSE), (9, TEXTS[9]), (11, TEXTS[11])], "doc_id bigint, text string")
-    results = [sorted(map(tuple, split_texts(docs, LIMITS, range_chars=r, halo_chars=300).collect())) for r in (100_000, 1500, 700)]
-    assert results[0] == results[1] == results[2]
+def test_ranges_do_not_change_the_pieces(spark):
+    docs = spark.createDataFrame(list(TEXTS.items()), "doc_id bigint, text string")
+    results = [sorted(map(tuple, split_texts(docs, LIMITS, range_bytes=r).collect())) for r in (1 << 20, 1500, 333, 64)]
+    assert all(r == results[0] for r in results)
+
+
+def test_texts_just_beyond_a_range(spark):
+    texts = {n: ("word " * 7000)[: n - 1] + "." for n in (32_767, 32_768, 32_769)} | {5: "é" * 40_000, 6: "a b" + "c" * 70_000 + " d" * 300}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    pieces = split_texts(docs, LIMITS).collect()
+    check(texts, pieces)
+    assert sorted(map(tuple, pieces)) == sorted(map(tuple, split_texts(docs, LIMITS, range_bytes=1 << 20).collect()))
+
+
+def test_files_by_byte_ranges(spark, tmp_path):
+    texts = {d: t for d, t in TEXTS.items() if t is not None} | {20: PROSE * 30}
+    for d, t in texts.items():
+        (tmp_path / f"{d}.txt").write_bytes(t.encode())
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    wanted = sorted(map(tuple, split_texts(docs, LIMITS).collect()))
+    for range_bytes in (1 << 20, 700):
+        rows = split_files(spark, [str(tmp_path)], LIMITS, range_bytes=range_bytes).collect()
+        assert sorted((r.limit_name, int(r.path.rsplit("/", 1)[1][:-4]), *r[2:]) for r in rows) == wanted
+    (tmp_path / "bad.bin").write_bytes(b"\xff\x80 caf\xc3" * 3000)
+    bad = [sorted(map(tuple, split_files(spark, [str(tmp_path / "bad.bin")], LIMITS, range_bytes=r).collect())) for r in (1 << 20, 777)]
+    assert bad[0] == bad[1] and all(p[5] == size(p[6]) <= 128 for p in bad[0])
 
 
 def test_cuts_prefer_strong_boundaries(spark):
@@ -72,7 +94,7 @@ def test_cuts_prefer_strong_boundaries(spark):
 def test_repeated_rows_null_ids_and_empty_table(spark):
     docs = spark.createDataFrame([(None, PROSE), (None, PROSE)], "doc_id bigint, text string")
     for size_of_range in (100_000, 900):
-        rows = split_texts(docs, LIMITS, range_chars=size_of_range, halo_chars=100).collect()
+        rows = split_texts(docs, LIMITS, range_bytes=size_of_range).collect()
         assert len(rows) == 2 * len({tuple(r) for r in rows}) and all(r.doc_id is None for r in rows)
     assert split_texts(docs.where("false"), LIMITS).count() == 0
     assert split_texts(docs, []).count() == 0
@@ -95,12 +117,33 @@ def test_tokens_between_candidates_are_exact(text):
         previous = (offset, count)
 
 
-@settings(max_examples=100, deadline=None)
+@settings(max_examples=200, deadline=None)
 @given(st.text(alphabet=st.sampled_from("ab 1.'\n\té。漢s"), min_size=2, max_size=120), st.integers(1, 100))
 def test_no_token_straddles_a_safe_point(text, begin):
-    point = safe_point(text, begin, len(text))
-    if point is not None:
-        assert size(text[:point]) + size(text[point:]) == size(text)
+    data = text.encode()
+    point = safe_point(lambda a, b: data[a:b], begin, len(data))
+    assert begin <= point or point == len(data)
+    head, tail = data[:point].decode(), data[point:].decode()
+    assert size(head) + size(tail) == size(text)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.sampled_from("ab 1.'\r\n\té。、漢s😀_"), min_size=2, max_size=400), st.integers(1, 60))
+def test_stitched_tables_are_those_of_the_whole(text, range_bytes):
+    data, gap = text.encode(), 4
+    read = lambda a, b: data[a:b]
+    limits, n = [CutLimit("s", 24, 5)], -(-len(data) // range_bytes)
+    tokens = load(TOKENIZER).encode_ordinary(text)
+    one, many, pieces = Stitcher(limits, gap), Stitcher(limits, gap), []
+    whole = [*one.feed(*candidates(text, TOKENIZER, gap, tokens), len(text), len(tokens)), *one.finish()]
+    bounds = [safe_point(read, k * range_bytes, len(data)) for k in range(n)] + [len(data)]
+    for a, b in zip(bounds, bounds[1:]):
+        own = data[a:b].decode()
+        if own:
+            after = _following(read, b, len(data)) if b < len(data) else None
+            table = candidates(own, TOKENIZER, gap, first=a == 0, after=after)
+            pieces += many.feed(*table, len(own), int(table[1][-1]))
+    assert [*pieces, *many.finish()] == whole
 
 
 @settings(max_examples=100, deadline=None)
