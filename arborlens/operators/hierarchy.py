@@ -14,7 +14,10 @@ last to first: a node's root and distance follow from the node it was recorded
 with, which is resolved by then.
 
 A round is one job with three shuffles on node keys. Child counts are summed
-before they are shuffled, so a parent of a third of all nodes is no hot spot.
+before they are shuffled. When rounds are undone, nodes meet their parent; no
+splice gives a parent more children than it had, so parents of many are known
+from the start: their few rows are sent to where their children are, and no task
+gets all children of one parent.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..runtime import materialize, remove_path
+from ..runtime import materialize, remove_path, task_count
 
 _RECORD = "node string, parent string, dist bigint, low string, via array<string>, only string, action string"
 
@@ -126,7 +129,10 @@ def hierarchy(links: DataFrame, with_paths: bool = False) -> DataFrame:
     spark = links.sparkSession
     links = links.where(F.col("node").isNotNull() & F.col("parent").isNotNull())
     links = links.groupBy("node").agg(F.min("parent").alias("parent"))
+    links, links_path = materialize(links, "hierarchy-links")
+    busy = busy_parents(links)
     done = contract(links, with_paths)
+    remove_path(spark, links_path)
     out = "node string, root_node string, depth bigint, path array<string>"
     parts: list[str] = []
     if done.cores:
@@ -142,20 +148,37 @@ def hierarchy(links: DataFrame, with_paths: bool = False) -> DataFrame:
     for number in range(len(done.rounds) - 1, -1, -1):
         rows = spark.read.schema(_RECORD).parquet(done.rounds[number])
         known = spark.read.schema(out).parquet(*parts) if parts else spark.createDataFrame([], out)
-        spliced = _resolve(rows.where(F.col("action") == "splice"), known)
-        raked = _resolve(rows.where(F.col("action") == "rake"), known.unionByName(spliced))
+        spliced = _resolve(rows.where(F.col("action") == "splice"), known, busy)
+        raked = _resolve(rows.where(F.col("action") == "rake"), known.unionByName(spliced), busy)
         parts.append(materialize(spliced.unionByName(raked), f"expand-{number}")[1])
         remove_path(spark, done.rounds[number])
     result = spark.read.schema(out).parquet(*parts)
     return result if with_paths else result.drop("path")
 
 
-def _resolve(records: DataFrame, known: DataFrame) -> DataFrame:
-    """Records (node, parent, dist, via) against resolved nodes; a parent that is not resolved is a root."""
+def busy_parents(links: DataFrame, per_task: int = 4) -> list[str]:
+    """Parents of more than a ``per_task``-th of a task's fair share of ``links``: at most ``per_task`` times the tasks."""
+    tasks = task_count(links.sparkSession)
+    counted = links.groupBy("parent").agg(F.count(F.lit(1)).alias("n"))
+    share = links.count() / (tasks * per_task)
+    return [r["parent"] for r in counted.where(F.col("n") > share).collect()]
+
+
+def _resolve(records: DataFrame, known: DataFrame, busy: list[str]) -> DataFrame:
+    """Records (node, parent, dist, via) against resolved nodes; a parent that is not resolved is a root.
+
+    Children of ``busy`` parents stay where they are: the parents' rows are broadcast, one for each.
+    """
     above = known.select(
         F.col("node").alias("k"), F.col("root_node").alias("k_root"), F.col("depth").alias("k_depth"), F.col("path").alias("k_path")
     )
-    both = records.select("node", "parent", "dist", "via").join(above, F.col("parent") == F.col("k"), "left")
+    rows = records.select("node", "parent", "dist", "via")
+    if busy:
+        crowd, rest = F.col("parent").isin(busy), ~F.col("parent").isin(busy)
+        near = rows.where(crowd).join(F.broadcast(above.where(F.col("k").isin(busy))), F.col("parent") == F.col("k"), "left")
+        both = near.unionByName(rows.where(rest).join(above.where(~F.col("k").isin(busy)), F.col("parent") == F.col("k"), "left"))
+    else:
+        both = rows.join(above, F.col("parent") == F.col("k"), "left")
     cyclic = F.col("k_depth") == -1
     head = F.when(F.col("k").isNull(), F.array("parent")).otherwise(F.col("k_path"))
     return both.select(

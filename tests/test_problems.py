@@ -172,6 +172,22 @@ def test_random_graphs(spark):
         check_forest(spark, {n: rng.choice(nodes) for n in nodes if rng.random() < 0.95})
 
 
+def test_children_of_one_parent_stay_apart(spark):
+    from arborlens.operators.hierarchy import _resolve, busy_parents
+
+    rows = [(f"n{i}", "hub" if i % 2 else f"n{i // 2}") for i in range(2, 20000)] + [("hub", "top")]
+    links = spark.createDataFrame(rows, "node string, parent string").repartition(8)
+    busy = busy_parents(links)
+    assert busy == ["hub"]
+    known = spark.createDataFrame([("hub", "top", 1, ["top", "hub"])], "node string, root_node string, depth bigint, path array<string>")
+    records = links.selectExpr("node", "parent", "1L AS dist", "array() AS via").withColumn("via", F.col("via").cast("array<string>"))
+    found = _resolve(records, known, busy).where(F.col("depth") == 2)
+    sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 9999 and max(sizes) <= 1.5 * sum(sizes) / len(sizes) and len(sizes) == 8
+    chains = {f"a{i:03}": "hub" for i in range(60)} | {f"b{i:03}": f"a{i:03}" for i in range(60)} | {f"c{i:03}": f"b{i:03}" for i in range(60)}
+    check_forest(spark, chains | {"hub": "top"})
+
+
 def test_descendants_and_links(spark):
     edges = [("contains", "a", "b"), ("child_of", "b", "r"), ("contains", "b", "c"), ("contains", None, "d"), ("contains", "b", None), ("calls", "q", "a"), ("contains", "b", "c")]
     links = parent_links(spark.createDataFrame(edges, "kind string, source string, target string"), ["child_of"], ["contains"])
