@@ -1,8 +1,8 @@
 """Generated, minified, vendored and data files among sources, by belief propagation over the directory tree.
 
 Nodes are directories and files, each with one of five labels. A file's content
-and name give evidence (log-likelihoods per label); a directory's name gives
-its own. Neighbours are tied by compatibilities: a directory passes its label
+and name give evidence (log-likelihoods per label, see ``evidence``); its stated
+language and a directory's name give a prior that evidence can beat. Neighbours are tied by compatibilities: a directory passes its label
 to what lies in it (parent to child), and so what lies in it speaks to its
 neighbours through their common directory (sibling to sibling). The tree has no
 loops, so one pass of messages from the deepest directories up and one pass
@@ -16,19 +16,15 @@ way down files meet their directory in a load-balanced join.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
 from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.skew import balanced_join
-from ..runtime import materialize
-
-LABELS = ("handwritten", "generated", "minified", "vendored", "blob")
-HAND, GENERATED, MINIFIED, VENDORED, BLOB = range(5)
+from ..runtime import materialize, remove_path
+from .evidence import BLOB, GENERATED, HAND, LABELS, MINIFIED, VENDORED, HouseStyle, file_evidence, fitted
 
 # Directory names that hold other people's code, and the output of tools. Compared in lower case.
 VENDOR_DIRS = [
@@ -40,158 +36,24 @@ OUTPUT_DIRS = ["gen", "generated", "__generated__", "_generated", "autogen", "au
 BUNDLE_DIRS = ["dist", "build", "out", "public", "assets", "static", "bundles", "bundle"]
 
 
-@dataclass(frozen=True)
-class HouseStyle:
-    """What marks a file as the house's own: its name in notices."""
-
-    owners: tuple[str, ...] = ("Marrowfield Works",)
-
-
-# Strengths of evidence, as log-likelihood ratios.
-SURE, STRONG, FAIR, SLIGHT = 9.0, 5.0, 2.5, 1.0
-# A label that nothing in the file speaks for: minified and data files always show it, the others mostly.
-UNSEEN = [0.0, -2.5, -6.0, -2.5, -6.0]
-
-_COMMENT = re.compile(r"^\s*(?://+[!/]?|#+!?|/\*+!?|\*+/?|--+|;+|<!--|%+|\"\"\"|''')\s?(.*?)\s*(?:\*/|-->)?\s*$")
-#: How a comment opens in a long line; code of minified files may begin with the bare marks.
-_OPENING = re.compile(r"^\s*(?://+[!/]?|#+!?|/\*+!?|<!--|\"\"\"|\'\'\'|(?:\*+/?|--+|;+|%+)(?=\s))\s?")
-_CLOSING = {"/*": "*/", "<!": "-->"}
-_TOOL_NOTICE = re.compile(
-    r"^(?:@generated\b|<?auto-?generated\b|(?:this (?:file|code) (?:is|was|has been) )?(?:code |file |source )?(?:auto(?:matically)?[- ])?generated (?:by|from|with|using)\b"
-    r"|(?:produced|created|written|made|emitted|compiled) automatically\b|automatically (?:produced|created|written|made|emitted|generated)\b"
-    r"|machine[- ](?:made|generated|written)\b|end of output\b|autogenerated\b"
-    r"|(?:this |the )?(?:file|code|module) (?:was|is|has been) (?:written|made|produced|created|emitted) by \S+ (?:out of|from)\b"
-    r"|\S+ (?:v?[\d.]+ )?(?:wrote|emitted|produced|generated) \d+ \w+ from \S+|fingerprint:? [0-9a-f]{8,} \(\S+ v?\d+\.\d+"
-    r"|automatisch (?:erzeugt|erstellt|generiert)\b|(?:fichier|code) (?:produit|généré|créé)\b|généré automatiquement\b"
-    r"|(?:archivo|código|fichero) generado\b|generado automáticamente\b|(?:file|codice) generato\b|gegenereerd door\b"
-    r"|自動生成|自动生成|автоматически создан)",
-    re.IGNORECASE,
-)
-_HANDS_OFF = re.compile(
-    r"\bdo not (?:edit|change|modify)\b|\bnot (?:be )?edit(?:ed)? by hand\b|\bregenerated\b|\b(?:manual )?changes will be (?:lost|overwritten)\b"
-    r"|\bnicht von hand\b|\bne pas (?:modifier|éditer)\b|\bno (?:editar|modificar)\b|\bnon modificare\b|編集しない|请勿(?:修改|编辑)|не редактировать",
-    re.IGNORECASE,
-)
-_ELSEWHERE = re.compile(r"\b(?:there|instead of|edit this file|those files)\b", re.IGNORECASE)
-_LINE_DIRECTIVE = re.compile(r"^(?://line|#line|# ?line)\s+\S+:\d+|^#line \d+ \"", re.MULTILINE)
-_TABLE_COMMENT = re.compile(r"^\s*(?://|#|/\*|\*|--)\s*(?:state|rule|prod|production|item|action|goto|symbol|token)s?\s+\d+\s*:", re.MULTILINE | re.IGNORECASE)
-_SOURCE_OF = re.compile(r"^(?:source|tables? of|derived from|compiled from|input)\b:?\s+\S+\.\w+$", re.IGNORECASE)
-_NOTICE = re.compile(r"copyright|\(c\)|©|SPDX-License-Identifier|@license|\blicen[cs]ed? under\b|all rights reserved", re.IGNORECASE)
-_OTHER_TERMS = re.compile(r"SPDX-License-Identifier|@license|\|\s*[\w.+-]+ licen[cs]e\b|\bsubject to its own terms\b|\bredistribution (?:and use )?in source\b|\bpermission is (?:hereby )?granted\b|@v?\d+\.\d+[\w.]* by .* - ", re.IGNORECASE)
-_TAKEN = re.compile(r"^(?:copied|taken(?: over)?|borrowed|imported|vendored|forked|local copy|mirror(?:ed)?)\b.{0,60}\b\d+\.\d+", re.IGNORECASE)
-_BUNDLE = re.compile(r"\bbundle\b", re.IGNORECASE)
-_MAP = re.compile(r"^\s*(?://|/\*)[#@] ?sourceMappingURL=", re.MULTILINE)
-_CODE_WORD = re.compile(r"(?<![\w\"'`])(?:function|class|def|fn|func|return|if|elif|else|for|while|match|switch|case|impl|pub fn|import|use|package|struct|interface|type|async|await|with|raise|throw|defer|yield|try|except|catch|let mut)\b(?!\s*[\"'`:])")
-_TOOL_NAME = re.compile(r"(?:[._-](?:g|gen|generated|autogen|pb|pb2|pb2_grpc|pbgo|designer)(?:\.[a-z]+)*|_pb2?|_pb2_grpc|\.pb\.\w+)$", re.IGNORECASE)
-_MIN_NAME = re.compile(r"(?:[.-]min|[.-]prod|[.-]bundle|[.-]packed|\.[0-9a-f]{8,32})$", re.IGNORECASE)
-_DATA = re.compile(r"^[\s\[\](){},;+\\|:=]*(?:(?:0x[0-9a-f]+|-?\d[\d._]*(?:e-?\d+)?|\"[^\"]*\"|'[^']*'|`[^`]*`|true|false|null|none|nil)[\s\[\](){},;+\\|:=]*)+$", re.IGNORECASE)
-_SEPARATED = re.compile(r"^[^\s(){}=]*[;,|\t][^(){}=]*[;,|\t][^(){}=]*$")
-_BASE = re.compile(r"^[A-Za-z0-9+/=_-]{40,}$")
-
-LONG_LINE = 200
-
-
-def _is_data(line: str) -> bool:
-    return bool(_DATA.match(line) or _SEPARATED.match(line) or _BASE.match(line.strip()))
-
-
-def _split_name(path: str) -> tuple[list[str], str]:
-    *folders, name = path.replace("\\", "/").split("/")
-    stem = name.rsplit(".", 1)[0] if "." in name.lstrip(".") else name
-    return folders, stem
-
-
-def _comment(line: str) -> str | None:
-    """Text of a comment line; of a long line only the comment it opens with, as code may follow."""
-    if len(line) <= 400:
-        return m[1] if (m := _COMMENT.match(line)) else None
-    if not (m := _OPENING.match(line)):
-        return None
-    closing = _CLOSING.get(line.lstrip()[:2])
-    text = line[m.end() :]
-    return (text.split(closing, 1)[0] if closing else text.rstrip().removesuffix("*/").removesuffix("-->")).strip()
-
-
-def file_evidence(path: str, content: bytes | None, style: HouseStyle = HouseStyle()) -> list[float]:
-    """Log-likelihood of a file's content and name under each label, up to a constant.
-
-    The whole content counts; bytes that are no UTF-8 are replaced. Null and
-    blank content speaks for nothing but hand work.
-    """
-    text = (content or b"").decode("utf-8", "replace")
-    score = [0.0] * 5
-    lines = [line for line in text.splitlines() if line.strip()]
-    if not lines:
-        score[HAND] = SURE
-        return score
-    _, stem = _split_name(path)
-    comments: list[tuple[int, str]] = []
-    for i, line in enumerate(lines):
-        if (comment := _comment(line)) is not None:
-            comments.append((i, comment))
-    head = []
-    for i, comment in comments:
-        if i > len(head) + 1:
-            break
-        head.append(comment)
-    owner = any(o.lower() in c.lower() for o in style.owners for c in head)
-    if any(_TOOL_NOTICE.match(c) for c in head) or any(_HANDS_OFF.search(c) and not _ELSEWHERE.search(c) for c in head):
-        score[GENERATED] += SURE
-    elif comments and comments[-1][0] == len(lines) - 1 and (_TOOL_NOTICE.match(comments[-1][1]) or _HANDS_OFF.search(comments[-1][1])):
-        score[GENERATED] += SURE
-    directives = len(_LINE_DIRECTIVE.findall(text))
-    if directives >= 2 or (directives and directives * 12 >= len(lines)):
-        score[GENERATED] += SURE
-    tables = len(_TABLE_COMMENT.findall(text))
-    if tables >= 3 and tables * 8 >= len(lines):
-        score[GENERATED] += SURE
-    if any(_SOURCE_OF.match(c) for c in head):
-        score[GENERATED] += FAIR
-    if _TOOL_NAME.search(stem):
-        score[GENERATED] += SURE
-    if not owner:
-        notices = sum(bool(_NOTICE.search(c)) for c in head)
-        if any(_OTHER_TERMS.search(c) for c in head) or any(_TAKEN.match(c) for c in head):
-            score[VENDORED] += SURE
-        elif notices:
-            score[VENDORED] += STRONG
-    else:
-        score[VENDORED] -= FAIR
-    size = sum(map(len, lines))
-    wide = [line for line in lines if len(line) > LONG_LINE]
-    wide_share = sum(map(len, wide)) / size
-    code = sum(1 for line in lines if len(line) <= LONG_LINE and not _COMMENT.match(line) and _CODE_WORD.search(line))
-    blank = sum(line.count(" ") + line.count("\t") for line in lines) / size
-    body = [line for line in lines if not _COMMENT.match(line)] or lines
-    if wide_share >= 0.8 and code <= 2:
-        dense = sum(line.count(";") + line.count("(") for line in wide) / max(1, sum(map(len, wide)))
-        if dense > 0.01:
-            score[MINIFIED] += SURE + (SLIGHT if blank < 0.15 else 0)
-        elif len(body) == len(wide):
-            score[BLOB] += SURE
-        if any(_BUNDLE.search(c) for c in head):
-            score[MINIFIED] += FAIR
-    if _MAP.search(text):
-        score[MINIFIED] += STRONG
-    if _MIN_NAME.search(stem):
-        score[MINIFIED] += STRONG if code <= 2 or wide_share > 0.3 else FAIR
-    data = sum(1 for line in body if len(line) <= LONG_LINE and _is_data(line))
-    if code <= 1 and size >= 300 and len(body) >= 6 and data >= 0.75 * len(body):
-        score[BLOB] += SURE
-    return [s if s > 0 or i == HAND else s + UNSEEN[i] for i, s in enumerate(score)]
+# Languages that name a data format. Compared in lower case.
+DATA_LANGUAGES = ["json", "csv", "tsv", "xml", "yaml", "toml", "svg", "data", "binary"]
+#: Log prior of the labels at a root, and what a telling name of a directory or language adds.
+ROOT_PRIOR = [0.0, -4.5, -5.5, -4.5, -5.5]
+TELLING, SUGGESTIVE, SLIGHT = 11.0, 4.0, 1.5
 
 
 def directory_evidence(folders: list[str]) -> list[float]:
     """Evidence of a directory (given by all names from the root) under each label: its name, and at a root the prior."""
-    score = [0.0, -4.5, -5.5, -4.5, -5.5] if len(folders) < 2 else [0.0] * 5
+    score = list(ROOT_PRIOR) if len(folders) < 2 else [0.0] * 5
     name = folders[-1].lower() if folders else ""
     if name in VENDOR_DIRS:
-        score[VENDORED] += 12.0
+        score[VENDORED] += TELLING
     elif name in OUTPUT_DIRS and not (name == "target" and len(folders) < 2):
-        score[GENERATED] += 12.0
+        score[GENERATED] += TELLING
     elif name in BUNDLE_DIRS:
-        score[MINIFIED] += 4.0
-        score[GENERATED] += 1.5
+        score[MINIFIED] += SUGGESTIVE
+        score[GENERATED] += SLIGHT
     return score
 
 
@@ -208,109 +70,122 @@ TO_FILE = _compatibility(stay=0.985, hand_stay=0.80)
 TO_DIRECTORY = _compatibility(stay=0.99, hand_stay=0.995)
 
 
-def _logsumexp(terms: list[Column]) -> Column:
-    top = F.greatest(*terms)
-    return top + F.log(reduce(lambda a, b: a + b, [F.exp(t - top) for t in terms]))
+def _message(belief: Column, tie: list[list[float]]) -> Column:
+    """Log message over an edge: for each label of the receiver, the log-sum-exp over the sender's beliefs and ``tie``."""
+    rows = F.array(*[F.array(*[F.lit(t) for t in row]) for row in tie])
+    top = F.array_max(belief)
+    total = lambda row: F.aggregate(F.zip_with(row, belief, lambda t, b: F.exp(t + b - top)), F.lit(0.0), lambda a, x: a + x)
+    return F.transform(rows, lambda row: top + F.log(total(row)))
+
+
+def _up(belief: Column, tie: list[list[float]]) -> Column:
+    return _message(belief, tie)
+
 
+def _down(cavity: Column, tie: list[list[float]]) -> Column:
+    return _message(cavity, [list(column) for column in zip(*tie)])
 
-def _up(values: list[str], tie: list[list[float]], name: str) -> list[Column]:
-    """Message to the parent, per parent label."""
-    return [_logsumexp([F.col(values[c]) + F.lit(tie[p][c]) for c in range(5)]).alias(f"{name}{p}") for p in range(5)]
 
+def _plus(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x + y)
 
-def _down(cavity: list[Column], tie: list[list[float]], name: str) -> list[Column]:
-    """Message to the child, per child label."""
-    return [_logsumexp([cavity[p] + F.lit(tie[p][c]) for p in range(5)]).alias(f"{name}{c}") for c in range(5)]
 
+def _minus(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x - y)
 
-def _measure(style: HouseStyle):
-    names = ["path", "folder", *[f"e{i}" for i in range(5)]]
-    types = [pa.string(), pa.string(), *[pa.float64()] * 5]
 
+def _sums(name: str) -> Column:
+    return F.array(*[F.sum(F.get(name, F.lit(i))) for i in range(5)]).alias(name)
+
+
+def _measure(style: HouseStyle, weights):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            paths, folders, found = [], [], []
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                folders, _ = _split_name(path)
-                rows.append((path, "/".join(folders), *file_evidence(path, content, style)))
-            columns = list(zip(*rows)) if rows else [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names)
+                *above, name = path.replace("\\", "/").split("/")
+                paths.append(path)
+                folders.append("/".join(above))
+                found.append(file_evidence(name, content, style, weights=weights))
+            arrays = [pa.array(paths, pa.string()), pa.array(folders, pa.string()), pa.array(found, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["path", "folder", "e"])
 
     return run
 
 
-def _prior(folder: Column) -> list[Column]:
-    """``directory_evidence`` as column expressions."""
+def _prior(folder: Column) -> Column:
+    """``directory_evidence`` as a column expression."""
     parts = F.split(folder, "/")
     name = F.lower(F.element_at(parts, -1))
     vendor, bundle = name.isin(VENDOR_DIRS), name.isin(BUNDLE_DIRS)
     output = name.isin(OUTPUT_DIRS) & ~((name == "target") & (F.size(parts) < 2))
-    base = [F.when(F.size(parts) < 2, prior).otherwise(0.0) for prior in directory_evidence([])]
-    extra = [
-        F.lit(0.0),
-        F.when(output, 12.0).when(bundle, 1.5).otherwise(0.0),
-        F.when(bundle, 4.0).otherwise(0.0),
-        F.when(vendor, 12.0).otherwise(0.0),
-        F.lit(0.0),
-    ]
-    return [(base[i] + extra[i]).alias(f"b{i}") for i in range(5)]
-
-
-def classify_sources(sources: DataFrame, style: HouseStyle = HouseStyle()) -> DataFrame:
+    base = F.when(F.size(parts) < 2, F.array(*[F.lit(p) for p in ROOT_PRIOR])).otherwise(F.array_repeat(F.lit(0.0), 5))
+    extra = F.array(
+        F.lit(0.0), F.when(output, TELLING).when(bundle, SLIGHT).otherwise(0.0), F.when(bundle, SUGGESTIVE).otherwise(0.0),
+        F.when(vendor, TELLING).otherwise(0.0), F.lit(0.0),
+    )
+    return _plus(base, extra)
+
+
+def classify_sources(sources: DataFrame, style: HouseStyle = HouseStyle(), languages: DataFrame | None = None) -> DataFrame:
     """Label every path of ``sources`` (path, content): ``path, label, p_handwritten`` (rounded to 6 places).
 
     Rows with a null path are ignored; a path that comes several times is judged
     once, by all its contents together. Null or blank content is hand work
     wherever it lies. An empty table gives no rows. Further columns are ignored.
+    ``languages`` (path, language; one row per path) may state the language of
+    some paths; one that names a data format speaks for data.
+
+    Folders are joined level by level, so rounds grow with the depth of the tree.
     """
     spark = sources.sparkSession
-    shape = "path string, folder string, " + ", ".join(f"e{i} double" for i in range(5))
-    files = sources.where(F.col("path").isNotNull()).select("path", "content").mapInArrow(_measure(style), shape)
-    files = files.groupBy("path", "folder").agg(*[F.sum(f"e{i}").alias(f"e{i}") for i in range(5)])
-    files = files.select("path", "folder", *[f"e{i}" for i in range(5)], *_up([f"e{i}" for i in range(5)], TO_FILE, "u"))
-    files, _ = materialize(files, "file-evidence")
-    sums = [F.sum(f"u{i}").alias(f"u{i}") for i in range(5)]
-    inner = files.groupBy("folder").agg(*sums)
-    folders = inner.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("folder", "/"))), lambda n: F.array_join(F.slice(F.split("folder", "/"), 1, n), "/"))).alias("folder")).distinct()
-    nodes = folders.join(inner, "folder", "left").fillna(0.0, [f"u{i}" for i in range(5)])
+    files = sources.where(F.col("path").isNotNull()).select("path", "content")
+    files = files.mapInArrow(_measure(style, fitted()), "path string, folder string, e array<double>")
+    files = files.groupBy("path", "folder").agg(_sums("e"))
+    if languages is not None:
+        data = languages.where(F.lower("language").isin(DATA_LANGUAGES)).select("path", F.lit(True).alias("is_data"))
+        more = F.array(*[F.when(F.col("is_data") & F.lit(i == BLOB), SLIGHT).otherwise(0.0) for i in range(5)])
+        files = files.join(data, "path", "left").select("path", "folder", _plus(F.col("e"), more).alias("e"))
+    files, files_path = materialize(files.withColumn("u", _up(F.col("e"), TO_FILE)), "file-evidence")
+    inner = files.groupBy("folder").agg(_sums("u"))
+    names = F.split("folder", "/")
+    ancestors = F.transform(F.sequence(F.lit(1), F.size(names)), lambda n: F.array_join(F.slice(names, 1, n), "/"))
+    nodes = inner.select(F.explode(ancestors).alias("folder")).distinct().join(inner, "folder", "left")
     nodes = nodes.withColumn("depth", F.size(F.split("folder", "/")))
     nodes = nodes.withColumn("parent", F.when(F.col("depth") > 1, F.expr("array_join(slice(split(folder, '/'), 1, depth - 1), '/')")))
-    nodes = nodes.select("folder", "parent", "depth", *[(p + F.col(f"u{i}")).alias(f"b{i}") for i, p in enumerate(_prior(F.col("folder")))])
-    nodes, _ = materialize(nodes, "folders")
+    told = F.coalesce("u", F.array_repeat(F.lit(0.0), 5))
+    nodes, nodes_path = materialize(nodes.select("folder", "parent", "depth", _plus(_prior(F.col("folder")), told).alias("b")), "folders")
     deepest = nodes.agg(F.max("depth")).first()[0] or 0
-    beliefs = [f"b{i}" for i in range(5)]
     levels: dict[int, DataFrame] = {}
+    used = [nodes_path]
     below = None
     for depth in range(deepest, 0, -1):
         own = nodes.where(F.col("depth") == depth)
         if below is not None:
-            told = below.groupBy(F.col("parent").alias("folder")).agg(*[F.sum(f"u{i}").alias(f"u{i}") for i in range(5)])
-            own = own.join(told, "folder", "left").select(
-                "folder", "parent", "depth", *[(F.col(f"b{i}") + F.coalesce(f"u{i}", F.lit(0.0))).alias(f"b{i}") for i in range(5)]
-            )
-        own = own.select("folder", "parent", "depth", *beliefs, *_up(beliefs, TO_DIRECTORY, "u"))
-        levels[depth], _ = materialize(own, f"folders-up-{depth}")
+            heard = below.groupBy(F.col("parent").alias("folder")).agg(_sums("u"))
+            own = own.join(heard, "folder", "left").select("folder", "parent", "depth", _plus(F.col("b"), told).alias("b"))
+        levels[depth], path = materialize(own.withColumn("u", _up(F.col("b"), TO_DIRECTORY)), f"folders-up-{depth}")
+        used.append(path)
         below = levels[depth]
     done: list[DataFrame] = []
     above = None
     for depth in range(1, deepest + 1):
         own = levels[depth]
         if above is None:
-            own = own.select("folder", *beliefs)
+            own = own.select("folder", "b")
         else:
-            over = above.select(F.col("folder").alias("parent"), *[F.col(f"b{i}").alias(f"a{i}") for i in range(5)])
-            both = own.join(over, "parent", "left")
-            both = both.select("folder", *beliefs, *_down([F.col(f"a{i}") - F.col(f"u{i}") for i in range(5)], TO_DIRECTORY, "d"))
-            own = both.select("folder", *[(F.col(f"b{i}") + F.col(f"d{i}")).alias(f"b{i}") for i in range(5)])
+            over = above.select(F.col("folder").alias("parent"), F.col("b").alias("a"))
+            heard = _down(_minus(F.col("a"), F.col("u")), TO_DIRECTORY)
+            own = own.join(over, "parent", "left").select("folder", _plus(F.col("b"), heard).alias("b"))
         above, _ = materialize(own, f"folders-down-{depth}")
         done.append(above)
+    for path in used:
+        remove_path(spark, path)
     if not done:
         return spark.createDataFrame([], "path string, label string, p_handwritten double")
     placed = balanced_join(files, reduce(DataFrame.unionByName, done), "folder")
-    told = placed.select("path", *[f"e{i}" for i in range(5)], *_down([F.col(f"b{i}") - F.col(f"u{i}") for i in range(5)], TO_FILE, "d"))
-    final = [F.col(f"e{i}") + F.col(f"d{i}") for i in range(5)]
-    best = F.lit(LABELS[HAND])
-    for i in range(1, 5):
-        best = F.when(final[i] == F.greatest(*final), F.lit(LABELS[i])).otherwise(best)
-    hand = F.exp(final[HAND] - _logsumexp(final))
-    return told.select("path", F.when(hand >= 0.5, F.lit(LABELS[HAND])).otherwise(best).alias("label"), F.round(hand, 6).alias("p_handwritten"))
+    final = placed.select("path", _plus(F.col("e"), _down(_minus(F.col("b"), F.col("u")), TO_FILE)).alias("f"))
+    best = F.element_at(F.array(*[F.lit(x) for x in LABELS]), F.array_position("f", F.array_max("f")).cast("int"))
+    odds = F.aggregate("f", F.lit(0.0), lambda a, x: a + F.exp(x - F.get("f", F.lit(HAND))))
+    hand = F.lit(1.0) / odds
+    return final.select("path", F.when(hand >= 0.5, F.lit(LABELS[HAND])).otherwise(best).alias("label"), F.round(hand, 6).alias("p_handwritten"))

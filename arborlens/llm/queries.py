@@ -9,22 +9,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.tables import read_table
+from .evidence import HouseStyle
 from .handwritten import classify_sources
 from .mixing import document_sizes, mix, share_report
 from .packing import fill_report, pack_texts
 from .splitting import CutLimit, split_texts
 
 
+#: The house whose tree the tables describe.
+HOUSE = HouseStyle(("Marrowfield Works",))
+
+
+def _languages(spark: SparkSession, sf: str) -> DataFrame:
+    """The language last delivered for each path."""
+    files = read_table(spark, sf, "files").where(F.col("path").isNotNull() & F.col("language").isNotNull())
+    return files.groupBy("path").agg(F.max(F.struct("load_id", "updated_at", "language"))["language"].alias("language"))
+
+
 def not_handwritten(spark: SparkSession, sf: str) -> DataFrame:
-    return classify_sources(read_table(spark, sf, "sources")).where(F.col("label") != "handwritten").select("path")
+    labels = classify_sources(read_table(spark, sf, "sources"), HOUSE, _languages(spark, sf))
+    return labels.where(F.col("label") != "handwritten").select("path")
 
 
 def source_labels(spark: SparkSession, sf: str) -> DataFrame:
     """Label of every source with the language last delivered for its path."""
-    files = read_table(spark, sf, "files").where(F.col("path").isNotNull() & F.col("language").isNotNull())
-    newest = files.groupBy("path").agg(F.max(F.struct("load_id", "updated_at", "language"))["language"].alias("language"))
-    labels = classify_sources(read_table(spark, sf, "sources"))
-    return labels.join(newest, "path", "left").select("path", F.lower("language").alias("language"), "label", "p_handwritten")
+    languages = _languages(spark, sf)
+    labels = classify_sources(read_table(spark, sf, "sources"), HOUSE, languages)
+    return labels.join(languages, "path", "left").select("path", F.lower("language").alias("language"), "label", "p_handwritten")
 
 
 def _limits(spark: SparkSession, sf: str, kind: str) -> DataFrame:
