@@ -1,8 +1,8 @@
 """Communities of the call graph by modularity, fully distributed.
 
-Nodes move to the neighbouring community of greatest gain. In each sweep only
-the nodes of one random half (a hash of name and sweep) move, so two
-neighbours rarely swap places; sweeps end when nothing moves or at their cap.
+Nodes move to the neighbouring community of greatest gain. A sweep is two
+half-sweeps: first the nodes of one random half (a hash of name and sweep) move,
+then the others, so two neighbours rarely swap places; sweeps end when nothing moves.
 Communities then become nodes and the next level begins. At the end, members
 of a community that are not connected inside it are split apart, so every
 community is connected.
@@ -16,6 +16,7 @@ from ..functions.names import file_stem
 from ..model import HIGH_KINDS, CommunityConfig
 from ..runtime import materialize, numbered
 from .components import connected_components
+from .skew import LoadPlan, balanced_join, plan_load
 
 # File stems too common to name a community.
 GENERIC_STEMS = ["mod", "lib", "index", "main", "utils", "helpers"]
@@ -37,10 +38,10 @@ def _both_ways(links: DataFrame) -> DataFrame:
     return there.unionByName(links.where(F.col("lo") != F.col("hi")).select(F.col("hi").alias("a"), F.col("lo").alias("b"), "weight"))
 
 
-def _sweep(adjacent: DataFrame, labels: DataFrame, total: float, resolution: float, number: int) -> DataFrame:
-    """One half-sweep over ``labels`` (node, degree, community); marks what moved."""
+def _sweep(adjacent: DataFrame, plan: LoadPlan, labels: DataFrame, total: float, resolution: float, number: int) -> DataFrame:
+    """One half-sweep over ``labels`` (node, degree, community); marks what moved. ``plan`` spreads the links of hubs."""
     sums = labels.groupBy("community").agg(F.sum("degree").alias("k"))
-    near = adjacent.where(F.col("a") != F.col("b")).join(labels.select(F.col("node").alias("b"), "community"), "b")
+    near = balanced_join(adjacent, labels.select(F.col("node").alias("b"), "community"), "b", how="inner", plan=plan, if_large=True).where(F.col("a") != F.col("b"))
     ties = near.groupBy(F.col("a").alias("node"), F.col("community").alias("to")).agg(F.sum("weight").alias("w"))
     own = labels.select("node", F.col("community").alias("to"), F.lit(0).cast("double").alias("w"))
     options = ties.select("node", "to", F.col("w").cast("double").alias("w")).unionByName(own).groupBy("node", "to").agg(F.sum("w").alias("w"))
@@ -51,15 +52,17 @@ def _sweep(adjacent: DataFrame, labels: DataFrame, total: float, resolution: flo
     best = rated.groupBy("node", "degree", "community").agg(
         F.max_by("to", F.struct("gain", "to")).alias("best"), F.max("gain").alias("top"), F.max(F.when(F.col("to") == F.col("community"), F.col("gain"))).alias("now")
     )
-    turn = F.pmod(F.xxhash64("node", F.lit(number)), F.lit(2)) == 0
+    turn = F.pmod(F.xxhash64("node", F.lit(number // 2)), F.lit(2)) == number % 2
     moves = turn & (F.col("top") > F.col("now") + _EPSILON)
     return best.select("node", "degree", F.when(moves, F.col("best")).otherwise(F.col("community")).alias("community"), moves.alias("moved"))
 
 
-def detect(symbols: DataFrame, edges: DataFrame, config: CommunityConfig = CommunityConfig(), max_sweeps: int = 8) -> DataFrame:
+def detect(symbols: DataFrame, edges: DataFrame, config: CommunityConfig = CommunityConfig(), max_sweeps: int = 200) -> DataFrame:
     """``qualified_name, community_id, n_members``; ids from 0 by size, then smallest name.
 
-    Communities below ``min_size`` and symbols without edges have no row.
+    A level ends when both halves in turn moved nothing. Every move raises
+    the modularity only if its neighbours stay, so a level that does not settle
+    within ``max_sweeps`` half-sweeps is an error, not a result. Communities below ``min_size`` and symbols without edges have no row.
     """
     base, _ = materialize(weights(symbols, edges), "community-weights")
     total = float(base.agg(F.sum("weight")).first()[0] or 0)
@@ -72,14 +75,18 @@ def detect(symbols: DataFrame, edges: DataFrame, config: CommunityConfig = Commu
         adjacent, _ = materialize(_both_ways(links), f"community-level-{level}")
         degree = adjacent.groupBy(F.col("a").alias("node")).agg(F.sum(F.when(F.col("a") == F.col("b"), 2 * F.col("weight")).otherwise(F.col("weight"))).cast("double").alias("degree"))
         labels = degree.select("node", "degree", F.col("node").alias("community"))
-        changed, quiet = False, 0
+        plan = plan_load(adjacent, "b")
+        changed, quiet = False, True
         for number in range(max_sweeps):
-            moved, _ = materialize(_sweep(adjacent, labels, total, config.resolution, level * max_sweeps + number), "community-sweep")
+            moved, _ = materialize(_sweep(adjacent, plan, labels, total, config.resolution, level * max_sweeps + number), "community-sweep")
             labels = moved.drop("moved")
-            quiet = quiet + 1 if moved.where("moved").isEmpty() else 0
-            changed |= quiet == 0
-            if quiet == 2:
+            still = moved.where("moved").isEmpty()
+            changed |= not still
+            quiet = still and (quiet or number % 2 == 0)
+            if quiet and number % 2 == 1:
                 break
+        else:
+            raise RuntimeError(f"level {level} did not settle in {max_sweeps} half-sweeps")
         step = labels.select("node", "community")
         member = step if member is None else member.join(step.select(F.col("node").alias("community"), F.col("community").alias("next")), "community").select("node", F.col("next").alias("community"))
         member, _ = materialize(member, f"community-members-{level}")

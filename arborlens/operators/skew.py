@@ -84,13 +84,14 @@ def _plan_tables(spark: SparkSession, plan: LoadPlan) -> tuple[DataFrame, DataFr
 def fragment(rows: DataFrame, key: str, plan: LoadPlan) -> DataFrame:
     """``rows`` with a non-null key, sent to the tasks of the plan; adds ``task`` and ``is_large``.
 
-    Rows of a large key go to its shards by a hash of the whole row, with a
-    running number against equal rows, so neither a hot second column nor
-    repeated rows pile up. Columns named like these two are replaced.
+    Rows of a large key go to its shards by a hash of the whole row and of the
+    partition it lies in, so neither a hot second column nor repeated rows pile
+    up, and a task that is repeated sends each row where it sent it before,
+    whatever order its input comes in. Columns named like these two are replaced.
     """
     spark = rows.sparkSession
     groups, large = _plan_tables(spark, plan)
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns], F.monotonically_increasing_id()), F.size("shard_tasks"))
+    spread = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns], F.spark_partition_id()), F.size("shard_tasks"))
     placed = (
         rows.where(F.col(key).isNotNull())
         .withColumn("plan_group", _group(F.col(key).cast("string"), plan.groups))
@@ -116,13 +117,19 @@ def replicate(rows: DataFrame, key: str, plan: LoadPlan) -> DataFrame:
     return placed.drop("plan_group", "group_task", "plan_key", "shard_tasks").repartitionById(plan.tasks, "task")
 
 
-def balanced_join(rows: DataFrame, matching: DataFrame, key: str, tasks: int | None = None, how: str = "left") -> DataFrame:
+def balanced_join(
+    rows: DataFrame, matching: DataFrame, key: str, tasks: int | None = None, how: str = "left", plan: LoadPlan | None = None, if_large: bool = False
+) -> DataFrame:
     """``rows`` joined to ``matching`` on ``key`` (same name on both sides) without an overloaded task.
 
     Null keys match nothing; with ``how="left"`` such rows stay. Columns of
-    ``matching`` must not clash with those of ``rows``.
+    ``matching`` must not clash with those of ``rows``. A ``plan`` of the same
+    rows can be used for several joins. With ``if_large`` rows without any large
+    key are joined as Spark likes, which gives the same result.
     """
-    plan = plan_load(rows, key, tasks)
+    plan = plan or plan_load(rows, key, tasks)
+    if if_large and not plan.large:
+        return rows.join(matching, key, how)
     left = fragment(rows, key, plan).drop("is_large")
     right = replicate(matching, key, plan)
     joined = left.join(right, ["task", key], how).drop("task")

@@ -34,12 +34,18 @@ def build_session(app: str = "arborlens", master: str | None = None, **conf: str
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; set here only where the session names none (tests, local runs)."""
+    """The folder all executors share, as ``spark.checkpoint.dir`` names it.
+
+    Where the session names none, a temporary one is made if the master is
+    local; on a cluster executors would not share it, so that is an error.
+    """
     named = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
     if named:
         return named.rstrip("/")
     known = spark.sparkContext.getCheckpointDir()
     if not known:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError(f"set {_SETTING} to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="arborlens-"))
         known = spark.sparkContext.getCheckpointDir()
     return known.rstrip("/")
