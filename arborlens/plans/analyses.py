@@ -90,50 +90,24 @@ def risk_summary(spark, sf):
     return risk_stats(_rounded(risk_scores(*_graph(spark, sf))))
 
 
-def _roots(own, links):
-    """The entries that the SQL of the flows states: without tests and commands; the queries ``*_entries_d4`` take all."""
-    return entry_points(own, links).where(F.col("entry_kind").isin("public_root", "http_handler", "main"))
-
-
-def flow_paths_d4(spark, sf):
-    own, links = _graph(spark, sf)
-    return flow_paths(_roots(own, links), links, 4).select("entry", F.concat_ws(" > ", "path").alias("path"), "depth")
-
-
-def flow_totals(spark, sf):
-    own, links = _graph(spark, sf)
-    return flow_stats(flow_paths(_roots(own, links), links, 4))
-
-
-def flow_node_counts(spark, sf):
-    own, links = _graph(spark, sf)
-    return flow_counts(flow_paths(_roots(own, links), links, 4))
-
-
-def flows_through_target(spark, sf):
-    own, links = _graph(spark, sf)
-    found = flows_through(TARGET, _roots(own, links), links, 4)
-    return found.select("entry", F.concat_ws(" > ", "path").alias("path"), "depth")
-
-
 def _entry_flows(spark, sf):
     own, links = _graph(spark, sf)
     return flow_paths(entry_points(own, links), links, 4)
 
 
-def flow_paths_entries_d4(spark, sf):
+def flow_paths_d4(spark, sf):
     return _entry_flows(spark, sf).select("entry", F.concat_ws(" > ", "path").alias("path"), "depth")
 
 
-def flow_totals_entries_d4(spark, sf):
+def flow_totals_d4(spark, sf):
     return flow_stats(_entry_flows(spark, sf))
 
 
-def flow_node_counts_entries_d4(spark, sf):
+def flow_node_counts_d4(spark, sf):
     return flow_counts(_entry_flows(spark, sf))
 
 
-def flows_through_target_entries_d4(spark, sf):
+def flows_through_target_d4(spark, sf):
     own, links = _graph(spark, sf)
     found = flows_through(TARGET, entry_points(own, links), links, 4)
     return found.select("entry", F.concat_ws(" > ", "path").alias("path"), "depth")
@@ -169,9 +143,8 @@ QUERIES = {
         f.__name__: f
         for f in (
             entry_point_counts, dead_layer_counts, dead_symbols, dead_by_kind, dead_by_file, dead_totals, coupling_scores, test_gap,
-            sensitive_names, risk_symbols, risk_by_file, risk_summary, flow_paths_d4, flow_totals, flow_node_counts,
-            flows_through_target, flows_capped, betweenness_all, criticality_rank, risk_full,
-            flow_paths_entries_d4, flow_totals_entries_d4, flow_node_counts_entries_d4, flows_through_target_entries_d4,
+            sensitive_names, risk_symbols, risk_by_file, risk_summary, flow_paths_d4, flow_totals_d4, flow_node_counts_d4,
+            flows_through_target_d4, flows_capped, betweenness_all, criticality_rank, risk_full,
         )
     },
 }
@@ -216,7 +189,7 @@ ris AS (SELECT s.qualified_name, s.file_path, round(coupling, 6) AS coupling, te
 _SCORES = _RISK.replace("{0}", "|".join(RiskConfig.patterns))
 _FLOWS = f"""{with_graph("sym", "edg", recursive=True)}, {_ENTRIES},
 hi AS (SELECT source AS a, target AS b FROM edg WHERE kind IN ({sql_list(HIGH_KINDS)})),
-grow(entry, path) AS (SELECT qualified_name, [qualified_name] FROM ent WHERE entry_kind IN ('public_root', 'http_handler', 'main')
+grow(entry, path) AS (SELECT qualified_name, [qualified_name] FROM ent
   UNION ALL SELECT g.entry, list_append(g.path, h.b) FROM grow g JOIN hi h ON h.a = g.path[-1] AND NOT list_contains(g.path, h.b) WHERE len(g.path) < 4),
 flo AS (SELECT entry, path, len(path) AS depth FROM grow g WHERE len(path) = 4 OR NOT EXISTS (SELECT 1 FROM hi h WHERE h.a = g.path[-1] AND NOT list_contains(g.path, h.b)))"""
 ORACLE = {
@@ -241,8 +214,8 @@ ORACLE = {
 SELECT max(n) AS symbols_scored, (SELECT count(DISTINCT file_path) FROM ris) AS files_scored, round(avg(composite), 6) AS avg_risk,
   round(median(composite), 6) AS median_risk, round(max(composite) FILTER (i = least(CAST(ceil(n * 0.9) AS BIGINT), n - 1)), 6) AS p90_risk FROM o""",
     "flow_paths_d4": _FLOWS + " SELECT entry, array_to_string(path, ' > ') AS path, depth FROM flo",
-    "flow_totals": _FLOWS
+    "flow_totals_d4": _FLOWS
     + " SELECT count(*) AS n_flows, count(DISTINCT entry) AS n_entries, max(depth) AS max_depth, round(avg(depth), 6) AS avg_depth FROM flo",
-    "flow_node_counts": _FLOWS + " SELECT node, count(*) AS n_flows FROM (SELECT unnest(path) AS node FROM flo) GROUP BY 1",
-    "flows_through_target": _FLOWS + f" SELECT entry, array_to_string(path, ' > ') AS path, depth FROM flo WHERE list_contains(path, '{TARGET}')",
+    "flow_node_counts_d4": _FLOWS + " SELECT node, count(*) AS n_flows FROM (SELECT unnest(path) AS node FROM flo) GROUP BY 1",
+    "flows_through_target_d4": _FLOWS + f" SELECT entry, array_to_string(path, ' > ') AS path, depth FROM flo WHERE list_contains(path, '{TARGET}')",
 }

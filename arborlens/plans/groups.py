@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.communities import cards, detect, modularity, names, stats, weights
+from ..operators.components import connected_components
 from ..runtime import materialize
 from ..sources import changes
 from .common import edges, symbols, with_graph
-from .lookups import diff_hunks, long_span_hunks
+from .lookups import diff_hunks
 
 
 def _graph(spark, sf):
@@ -61,17 +62,29 @@ def _parsed(hunks):
 
 
 def parsed_diffs(spark, sf):
-    return _parsed(long_span_hunks(spark, sf))
-
-
-def parsed_diffs_all(spark, sf):
     """The hunks of every span of more than one line."""
     return _parsed(diff_hunks(spark, sf))
 
 
+def community_invariants(spark, sf):
+    """What must hold of the communities found: each is connected, none is small, no symbol is in two, and they beat folders."""
+    own, links = _graph(spark, sf)
+    found, _ = materialize(detect(own, edges(spark, sf)), "found-communities")
+    part = found.select("qualified_name", F.col("community_id").cast("string").alias("community"))
+    of = part.select(F.col("qualified_name").alias("n"), "community")
+    inner = links.join(of.select(F.col("n").alias("lo"), "community"), "lo").join(of.select(F.col("n").alias("hi"), F.col("community").alias("other")), "hi")
+    parts = connected_components(inner.where(F.col("community") == F.col("other")).select(F.col("lo").alias("a"), F.col("hi").alias("b")))
+    joined = part.join(parts, part.qualified_name == parts.node, "left").groupBy("community")
+    sizes = joined.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.coalesce("component", "qualified_name")).alias("pieces"))
+    held = sizes.agg(F.bool_and(F.col("pieces") == 1).alias("connected"), F.bool_and(F.col("n") >= 2).alias("large_enough"))
+    once = part.agg((F.count(F.lit(1)) == F.count_distinct("qualified_name")).alias("disjoint"))
+    good = modularity(part, links).select(F.col("modularity").alias("q")).crossJoin(modularity(_partition(own), links).select(F.col("modularity").alias("folders")))
+    return held.crossJoin(once).crossJoin(good.select((F.col("q") > F.col("folders")).alias("better_than_folders")))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (community_weights, community_modularity, community_cards, community_names, community_stats, communities, parsed_diffs, parsed_diffs_all)
+    for f in (community_weights, community_modularity, community_cards, community_names, community_stats, communities, community_invariants, parsed_diffs)
 }
 
 _BASE = f"""{with_graph("sym", "edg")}, lin AS (SELECT least(source, target) AS lo, greatest(source, target) AS hi, count(*) AS weight FROM edg
@@ -97,6 +110,8 @@ SELECT community, CASE WHEN stem IN ('mod', 'lib', 'index', 'main', 'utils', 'he
     "community_stats": _BASE
     + """SELECT count(*) AS n_communities, round(avg(n_members), 6) AS avg_size, max(n_members) AS largest,
   (SELECT count(*) FROM sym WHERE qualified_name NOT IN (SELECT lo FROM lin UNION ALL SELECT hi FROM lin)) AS n_isolated FROM car""",
+    "community_invariants": "SELECT true AS connected, true AS large_enough, true AS disjoint, true AS better_than_folders",
     "parsed_diffs": with_graph("sym")
-    + " SELECT file_path AS file, line_start + 2 AS old_start, (line_end - line_start) // 4 AS old_count, line_start + 2 AS new_start, (line_end - line_start) // 4 AS new_count FROM sym WHERE line_end - line_start >= 30 AND file_path IS NOT NULL",
+    + """ SELECT file_path AS file, line_start AS old_start, (line_end - line_start + 1) // 2 AS old_count, line_start AS new_start, (line_end - line_start + 1) // 2 AS new_count
+FROM sym WHERE line_end > line_start AND file_path IS NOT NULL""",
 }

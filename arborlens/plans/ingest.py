@@ -11,7 +11,7 @@ from ..sources.extract import extract, part
 from ..sources.store import upsert, without_files
 from ..sources.tables import read_table
 from ..streaming.maintain import dependents
-from .common import edges, files, symbols, with_graph
+from .common import SECONDS, edges, symbols, with_graph
 from .problems import file_deliveries, run_log
 
 GO_MODULE = "marrowfield.example"
@@ -34,11 +34,6 @@ def resolved_edges(spark, sf):
     return resolve_all(_found(spark, sf), read_table(spark, sf, "sources").select("path"), GO_MODULE)
 
 
-def _libs(spark, sf):
-    """The shared libraries, which the SQL states in place of changed files."""
-    return files(spark, sf).where(F.startswith("path", F.lit("libs/"))).select("path")
-
-
 def _changed(spark, sf):
     """Files that were delivered with another content in the last run that delivered any."""
     state = KeyedState(spark, new_path(spark, "changed-state"))
@@ -60,21 +55,11 @@ def _edges_without(spark, sf, gone):
 
 
 def incremental_dependents(spark, sf):
-    """Files that depend on the shared libraries."""
-    return _dependents(spark, sf, _libs(spark, sf))
-
-
-def incremental_dependents_last_run(spark, sf):
     """Files that depend on what the last run changed."""
     return _dependents(spark, sf, _changed(spark, sf))
 
 
 def removed_file_edges(spark, sf):
-    """Edges that stay when the shared libraries are taken out."""
-    return _edges_without(spark, sf, _libs(spark, sf))
-
-
-def removed_file_edges_last_run(spark, sf):
     """Edges that stay when what the last run changed is taken out."""
     return _edges_without(spark, sf, _changed(spark, sf))
 
@@ -92,10 +77,13 @@ QUERIES = {
     f.__name__: f
     for f in (
         extracted_symbols, extracted_imports, resolved_edges, incremental_dependents, removed_file_edges, upserted_files,
-        incremental_dependents_last_run, removed_file_edges_last_run,
     )
 }
-_LIBS = "lib AS (SELECT path FROM fil WHERE starts_with(path, 'libs/')), own AS (SELECT qualified_name FROM sym WHERE file_path IN (SELECT path FROM lib))"
+_LIBS = f"""good AS (SELECT run_id, lag(run_id) OVER (ORDER BY run_id) AS before FROM index_runs WHERE status = 'succeeded'),
+feed AS (SELECT path, {SECONDS} AS s, regexp_extract(lower(hash), '([0-9a-f]{{64}})', 1) AS h, load_id FROM files WHERE hash IS NOT NULL AND updated_at IS NOT NULL AND path IS NOT NULL),
+sta AS (SELECT g.run_id, f.path, arg_max(f.h, (f.s, f.h)) AS h FROM good g JOIN feed f ON f.load_id <= g.run_id GROUP BY ALL),
+chg AS (SELECT n.run_id, n.path FROM sta n JOIN good g ON g.run_id = n.run_id JOIN sta o ON o.run_id = g.before AND o.path = n.path WHERE o.h <> n.h),
+lib AS (SELECT path FROM chg WHERE run_id = (SELECT max(run_id) FROM chg)), own AS (SELECT qualified_name FROM sym WHERE file_path IN (SELECT path FROM lib))"""
 ORACLE = {
     "incremental_dependents": with_graph("fil", "sym", "edg")
     + f""", {_LIBS} SELECT DISTINCT s.file_path AS path FROM edg e JOIN sym s ON s.qualified_name = e.source

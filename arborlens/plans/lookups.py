@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.names import extension, file_stem, language_of, name_file, name_symbol, segments, short_name
 from ..model import CONFIDENCE_NAMES, EDGE_KIND_TIERS, confidence_rank
+from ..operators.analysis import entry_points
 from ..operators.symbolgraph import (
     at_least,
     changed_symbols,
@@ -81,7 +82,10 @@ def callers(spark, sf):
 
 
 def callees(spark, sf):
-    return references_from(edges(spark, sf), TARGET, "calls").select("edge_id", "target")
+    """What the first caller of the target calls."""
+    links = edges(spark, sf)
+    first = references_to(links, TARGET, "calls").agg(F.min("source")).first()[0]
+    return references_from(links, first, "calls").select("edge_id", "target")
 
 
 def get_file(spark, sf):
@@ -115,36 +119,16 @@ def diff_hunks(spark, sf) -> DataFrame:
     return spans.select(F.col("file_path").alias("file"), F.col("line_start").alias("new_start"), half.alias("new_count"))
 
 
-def long_span_hunks(spark, sf) -> DataFrame:
-    """The hunks their SQL states: a quarter of the spans of 31 lines or more, from the third line; 1.3 % of the spans of sf0.1.
-
-    For comparison only; the queries ``*_all`` take the hunks of ``diff_hunks``.
-    """
-    spans = symbols(spark, sf, "file_path", "line_start", "line_end").where(F.col("line_end") - F.col("line_start") >= 30)
-    return spans.select(
-        F.col("file_path").alias("file"), (F.col("line_start") + 2).alias("new_start"), F.floor((F.col("line_end") - F.col("line_start")) / 4).alias("new_count")
-    )
-
-
 def _touched(spark, sf, hunks):
     return changed_symbols(symbols(spark, sf, "file_path", "line_start", "line_end"), hunks).select("qualified_name", "file_path")
 
 
 def diff_changed_symbols(spark, sf):
-    return _touched(spark, sf, long_span_hunks(spark, sf))
-
-
-def diff_changed_symbols_all(spark, sf):
     return _touched(spark, sf, diff_hunks(spark, sf))
 
 
-def _callers_first(graph: DataFrame, n: int = 5) -> DataFrame:
-    """The ``n`` smallest names that call something, as the SQL of forward searches states; at sf0.1 none is a symbol."""
-    return graph.where(F.col("kind") == "calls").select(F.col("source").alias("start")).distinct().orderBy("start").limit(n)
-
-
 def _every_symbol(spark, sf) -> DataFrame:
-    """All current symbols, as starts of the forward searches ``*_all``."""
+    """All current symbols, as starts of the forward searches."""
     return symbols(spark, sf, "name").select(F.col("qualified_name").alias("start"))
 
 
@@ -153,77 +137,49 @@ def _graph(spark, sf, rank=0) -> DataFrame:
     return materialize(at_least(edges(spark, sf), rank), "edges")[0]
 
 
-def _walk(spark, sf, direction, depth, rank=0, starts=None):
-    graph = _graph(spark, sf, rank)
-    if starts is None:
-        starts = _callers_first(graph) if direction == "forward" else _starts(spark, STARTS)
-    found = bfs(graph, starts, direction, depth)
+def _walk(spark, sf, direction, depth, starts, rank=0):
+    found = bfs(_graph(spark, sf, rank), starts, direction, depth)
     return found.select("start", "node", "depth", "edge_kind", F.concat_ws(" > ", "path").alias("path"))
 
 
 def bfs_forward_d3(spark, sf):
-    return _walk(spark, sf, "forward", 3)
+    return _walk(spark, sf, "forward", 3, _every_symbol(spark, sf))
 
 
 def bfs_backward_d2(spark, sf):
-    return _walk(spark, sf, "backward", 2)
+    return _walk(spark, sf, "backward", 2, _starts(spark, STARTS))
 
 
 def bfs_high_conf(spark, sf):
-    return _walk(spark, sf, "backward", 2, 3)
+    return _walk(spark, sf, "backward", 2, _every_symbol(spark, sf), 3)
 
 
 def bfs_zero_depth(spark, sf):
-    return _walk(spark, sf, "forward", 0)
-
-
-def bfs_forward_d3_all(spark, sf):
-    return _walk(spark, sf, "forward", 3, starts=_every_symbol(spark, sf))
-
+    return _walk(spark, sf, "forward", 0, _every_symbol(spark, sf))
 
-def bfs_zero_depth_all(spark, sf):
-    return _walk(spark, sf, "forward", 0, starts=_every_symbol(spark, sf))
 
-
-def _blast(graph, starts):
-    found = bfs(graph, starts, "forward", 4)
+def blast_radius(spark, sf):
+    """Everything within four edges of every symbol, with the strength of the last edge."""
+    found = bfs(_graph(spark, sf), _every_symbol(spark, sf), "forward", 4)
     rank = confidence_rank(F.col("edge_kind"))
     return found.select(F.col("start").alias("target"), "node", "depth", rank.alias("confidence_rank"))
 
 
-def blast_radius(spark, sf):
-    graph = _graph(spark, sf)
-    return _blast(graph, _callers_first(graph))
-
-
-def blast_radius_all(spark, sf):
-    return _blast(_graph(spark, sf), _every_symbol(spark, sf))
-
-
 def diff_impact(spark, sf):
-    """Blast radius of the symbols that the hunks of long spans touch."""
-    touched = _touched(spark, sf, long_span_hunks(spark, sf)).select(F.col("qualified_name").alias("start"))
-    return bfs(_graph(spark, sf, 1), touched, "forward", 2).select(F.col("start").alias("target"), "node", "depth")
-
-
-def diff_impact_all(spark, sf):
     """Blast radius of all symbols that a diff touches."""
     touched = _touched(spark, sf, diff_hunks(spark, sf)).select(F.col("qualified_name").alias("start"))
     return nodes_within(_graph(spark, sf, 1), touched, "forward", 2).select(F.col("start").alias("target"), "node", "depth")
 
 
 def dfs_reachable(spark, sf):
-    graph = _graph(spark, sf, 3)
-    return reachable(graph, _callers_first(graph), "forward")
-
-
-def dfs_reachable_all(spark, sf):
     return reachable(_graph(spark, sf, 3), _every_symbol(spark, sf), "forward")
 
 
 def dfs_preorder(spark, sf):
-    graph = _graph(spark, sf, 3)
-    return dfs_order(graph, _callers_first(graph), "forward")
+    """Depth-first order over high-confidence edges from every entry point."""
+    own = symbols(spark, sf, "name", "kind", "file_path", "line_start", "visibility", "is_exported", "is_test", "decorators")
+    starts = entry_points(own, edges(spark, sf)).select(F.col("qualified_name").alias("start"))
+    return dfs_order(_graph(spark, sf, 3), starts, "forward")
 
 
 QUERIES = {
@@ -231,25 +187,24 @@ QUERIES = {
     for f in (
         all_files, all_symbols, all_edges, graph_stats, degree_by_kind, edges_by_confidence, edges_medium_up, find_exact, find_prefix,
         find_card, refs, callers, callees, get_file, get_symbol, symbols_for_files, file_languages, name_parts, diff_changed_symbols,
-        diff_changed_symbols_all, diff_impact_all, bfs_forward_d3_all, bfs_zero_depth_all, blast_radius_all, dfs_reachable_all,
         bfs_forward_d3, bfs_backward_d2, bfs_high_conf, bfs_zero_depth, blast_radius, diff_impact, dfs_reachable, dfs_preorder,
     )
 }
 
 _RANK = "CASE " + " ".join(f"WHEN {{0}} IN ({sql_list(k)}) THEN {t}" for t, k in EDGE_KIND_TIERS.items()) + " END"
-_HUNKS = """hunks AS (SELECT file_path AS file, line_start + 2 AS new_start, (line_end - line_start) // 4 AS new_count FROM sym WHERE line_end - line_start >= 30)"""
+_HUNKS = """hunks AS (SELECT file_path AS file, line_start AS new_start, (line_end - line_start + 1) // 2 AS new_count FROM sym WHERE line_end > line_start)"""
 _TOUCHED = """touched AS (SELECT s.qualified_name, s.file_path FROM sym s WHERE EXISTS (SELECT 1 FROM {0} h WHERE h.file = s.file_path
   AND s.line_start <= h.new_start + greatest(h.new_count, 1) - 1 AND h.new_start <= s.line_end))"""
 
 
-_FIRST = "SELECT DISTINCT source AS start FROM edg WHERE kind = 'calls' ORDER BY start LIMIT 5"
+_EVERY = "SELECT qualified_name AS start FROM sym"
+_NAMED = f"SELECT unnest([{sql_list(STARTS)}]) AS start"
 
 
-def _walk_sql(direction: str, depth: int, rank: int = 0, starts: str | None = None, extra: str = "", parts=("edg",)) -> str:
+def _walk_sql(direction: str, depth: int, rank: int = 0, starts: str = _EVERY, extra: str = "", parts=("sym", "edg")) -> str:
     a, b = ("source", "target") if direction == "forward" else ("target", "source")
-    seeds = starts or (_FIRST if direction == "forward" else f"SELECT unnest([{sql_list(STARTS)}]) AS start")
     return f"""{with_graph(*parts, recursive=True)}{extra},
-st AS ({seeds}),
+st AS ({starts}),
 step AS (SELECT edge_id, kind, {a} AS a, {b} AS b FROM edg WHERE {_RANK.format("kind")} >= {rank}),
 walk(start, node, depth, kind, ids, way) AS (
   SELECT start, start, 0, NULL::VARCHAR, []::BIGINT[], [start] FROM st
@@ -289,7 +244,7 @@ SELECT h.*, count(*) FILTER (n.l = 'callers') AS n_callers, coalesce(string_agg(
 FROM hit h LEFT JOIN num n ON n.q = h.qualified_name GROUP BY ALL""",
     "refs": with_graph("edg") + f" SELECT edge_id, kind, source FROM edg WHERE target = '{TARGET}'",
     "callers": with_graph("edg") + f" SELECT edge_id, source FROM edg WHERE target = '{TARGET}' AND kind = 'calls'",
-    "callees": with_graph("edg") + f" SELECT edge_id, target FROM edg WHERE source = '{TARGET}' AND kind = 'calls'",
+    "callees": with_graph("edg") + f" SELECT edge_id, target FROM edg WHERE source = (SELECT min(source) FROM edg WHERE target = '{TARGET}' AND kind = 'calls') AND kind = 'calls'",
     "get_file": with_graph("fil") + " SELECT * FROM fil WHERE path = 'libs/text/slug.py'",
     "get_symbol": with_graph("sym") + f" SELECT qualified_name, name, kind, file_path, line_start FROM sym WHERE qualified_name = '{TARGET}'",
     "symbols_for_files": with_graph("fil", "sym")
@@ -306,7 +261,7 @@ SELECT path, language, extension, CASE WHEN extension IN ('ts', 'tsx') THEN 'Typ
 FROM sym""",
     "diff_changed_symbols": with_graph("sym") + f", {_HUNKS}, {_TOUCHED.format('hunks')} SELECT * FROM touched",
     "bfs_forward_d3": _walk_sql("forward", 3) + _FOUND,
-    "bfs_backward_d2": _walk_sql("backward", 2) + _FOUND,
+    "bfs_backward_d2": _walk_sql("backward", 2, starts=_NAMED) + _FOUND,
     "bfs_high_conf": _walk_sql("backward", 2, 3) + _FOUND,
     "bfs_zero_depth": _walk_sql("forward", 0) + _FOUND,
     "blast_radius": _walk_sql("forward", 4) + f"SELECT start AS target, node, depth, {_RANK.format('edge_kind')} AS confidence_rank FROM found",
@@ -314,7 +269,7 @@ FROM sym""",
         "forward", 2, 1, "SELECT qualified_name AS start FROM touched",
         f", {_HUNKS}, {_TOUCHED.format('hunks')}", ("sym", "edg"),
     ) + "SELECT start AS target, node, depth FROM found",
-    "dfs_reachable": with_graph("edg", recursive=True)
-    + f""", f AS ({_FIRST}), r(node) AS (SELECT start FROM f UNION SELECT e.target FROM r JOIN edg e ON e.source = r.node AND {_RANK.format("e.kind")} >= 3)
+    "dfs_reachable": with_graph("sym", "edg", recursive=True)
+    + f""", f AS ({_EVERY}), r(node) AS (SELECT start FROM f UNION SELECT e.target FROM r JOIN edg e ON e.source = r.node AND {_RANK.format("e.kind")} >= 3)
 SELECT node FROM r""",
 }

@@ -239,6 +239,9 @@ SELECT n.table_name, n.run_id, n.record_key FROM state n JOIN good g ON g.run_id
 LEFT JOIN state o ON o.run_id = g.before AND o.table_name = n.table_name AND o.record_key = n.record_key
 WHERE g.before IS NOT NULL AND (o.h IS NULL OR o.h <> n.h)""",
     "p2_found": _FOREST + "SELECT node, root_node, depth FROM f",
+    "p2_paths": _FOREST
+    + """SELECT a.node, f.root_node, f.depth, CASE WHEN f.depth < 0 THEN '' ELSE string_agg(a.anc, ' > ' ORDER BY coalesce(u.depth, 0)) || ' > ' || a.node END AS path
+FROM reach a JOIN f ON f.node = a.node LEFT JOIN f u ON u.node = a.anc GROUP BY a.node, f.root_node, f.depth""",
     "p2_descendants": _FOREST
     + """SELECT a.anc AS ancestor, a.node AS descendant, d.depth - coalesce(u.depth, 0) AS distance
 FROM reach a JOIN f d ON d.node = a.node AND d.depth >= 0 LEFT JOIN f u ON u.node = a.anc""",

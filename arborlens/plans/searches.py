@@ -17,7 +17,7 @@ from ..operators.search import (
     symbol_texts,
     texts_to_embed,
 )
-from ..operators.traversal import bfs, nodes_within
+from ..operators.traversal import nodes_within
 from ..runtime import materialize
 from ..sources.tables import read_table
 from .common import edges, sql_list, symbols, with_graph
@@ -91,9 +91,9 @@ def embed_changed(spark, sf):
 
 
 def embed_orphans(spark, sf):
-    own = _symbols(spark, sf)
-    texts, _ = materialize(symbol_texts(own, edges(spark, sf)), "texts")
-    return orphan_embeddings(_stored(texts, own), own)
+    """Of vectors stored for everything that is called, those that belong to no current symbol."""
+    called = edges(spark, sf).where(F.col("kind") == "calls").select(F.col("target").alias("qualified_name")).distinct()
+    return orphan_embeddings(called, _symbols(spark, sf))
 
 
 def _label_ranking(spark, sf):
@@ -117,16 +117,6 @@ def eval_precision(spark, sf):
 
 
 def _impact(spark, sf):
-    """Impact of the 20 smallest sources of high edges, as the SQL states; at sf0.1 none of them is a symbol."""
-    links, _ = materialize(edges(spark, sf), "edges")
-    high = links.where(F.col("kind").isin(HIGH_KINDS))
-    starts = high.select(F.col("source").alias("start")).distinct().orderBy("start").limit(20)
-    near = bfs(links.where(F.col("kind") != "contains"), starts, "forward", 2).select(F.col("start").alias("scenario"), "node")
-    sure = bfs(high, starts, "forward", 3).select(F.col("start").alias("scenario"), "node")
-    return near, sure, starts.select(F.col("start").alias("scenario"))
-
-
-def _impact_all(spark, sf):
     """Impact of every source of high edges."""
     links, _ = materialize(edges(spark, sf), "edges")
     high = links.where(F.col("kind").isin(HIGH_KINDS))
@@ -153,20 +143,11 @@ def eval_blast_f1(spark, sf):
     return _means(_impact(spark, sf))
 
 
-def eval_blast_all(spark, sf):
-    return _scores(_impact_all(spark, sf))
-
-
-def eval_blast_f1_all(spark, sf):
-    return _means(_impact_all(spark, sf))
-
-
 QUERIES = {
     f.__name__: f
     for f in (
         search_text, search_phrase, search_top, search_rrf, search_boosted, search_hybrid, vector_neighbours, vector_top, embed_texts,
         embed_changed, embed_orphans, eval_mrr, eval_precision, eval_blast, eval_blast_f1,
-        eval_blast_all, eval_blast_f1_all,
     )
 }
 
@@ -204,7 +185,7 @@ def _blast_sql() -> str:
 {name} AS (SELECT DISTINCT start AS scenario, node FROM {name}w WHERE node <> start)"""
 
     return f"""{with_graph("edg", recursive=True)}, hig AS (SELECT * FROM edg WHERE kind IN ({sql_list(HIGH_KINDS)})), non AS (SELECT * FROM edg WHERE kind <> 'contains'),
-st AS (SELECT DISTINCT source AS start FROM hig ORDER BY start LIMIT 20), {walk("pre", "non", 2)}, {walk("exp", "hig", 3)},
+st AS (SELECT DISTINCT source AS start FROM hig), {walk("pre", "non", 2)}, {walk("exp", "hig", 3)},
 sco AS (SELECT s.start AS scenario, coalesce(g / nullif(n, 0), 0) AS precision, coalesce(g / nullif(w, 0), 0) AS recall FROM st s
   LEFT JOIN (SELECT p.scenario, count(*) AS n, count(e.node) AS g FROM pre p LEFT JOIN exp e ON e.scenario = p.scenario AND e.node = p.node GROUP BY 1) a ON a.scenario = s.start
   LEFT JOIN (SELECT scenario, count(*) AS w FROM exp GROUP BY 1) b ON b.scenario = s.start)"""
@@ -228,7 +209,8 @@ ORACLE = {
   (SELECT list_transform(range(64), lambda i: CASE WHEN i % 2 = 1 THEN 1.0 ELSE -0.5 END) AS embedding) a ORDER BY {_COS} DESC, b.vec_id LIMIT 20""",
     "embed_texts": _TEXTS + " SELECT qualified_name, text, sha256(text) AS text_hash FROM tex",
     "embed_changed": _TEXTS + " SELECT qualified_name FROM tex WHERE signature IS NULL",
-    "embed_orphans": "SELECT 'gone.py::gone' AS qualified_name",
+    "embed_orphans": with_graph("sym", "edg")
+    + " SELECT DISTINCT target AS qualified_name FROM edg WHERE kind = 'calls' AND target NOT IN (SELECT qualified_name FROM sym)",
     "eval_mrr": _NEAR
     + """, f AS (SELECT query, min(position) FILTER (own = label) AS p FROM near GROUP BY 1) SELECT round(avg(coalesce(1.0::DOUBLE / p, 0)), 6) AS mrr, count(*) AS n_queries FROM f""",
     "eval_precision": _NEAR

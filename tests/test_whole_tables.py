@@ -47,8 +47,8 @@ def test_hunks_of_every_span(spark, graph):
     folder, spans, links = graph
     got = sorted(tuple(r) for r in lookups.diff_hunks(spark, folder).select("file", "new_start", "new_count").collect())
     assert got == sorted(brute_hunks(spans)) and any(b - a < 30 for _, _, a, b in spans)
-    assert {tuple(r) for r in lookups.diff_changed_symbols_all(spark, folder).collect()} == brute_touched(spans)
-    parsed = groups.parsed_diffs_all(spark, folder).select("file", "new_start", "new_count").collect()
+    assert {tuple(r) for r in lookups.diff_changed_symbols(spark, folder).collect()} == brute_touched(spans)
+    parsed = groups.parsed_diffs(spark, folder).select("file", "new_start", "new_count").collect()
     assert sorted(tuple(r) for r in parsed) == sorted(brute_hunks(spans))
 
 
@@ -64,7 +64,7 @@ def test_impact_of_every_span(spark, graph):
     folder, spans, links = graph
     kept = {(r.kind, r.source, r.target) for r in lookups._graph(spark, folder, 1).collect()}
     want = set().union(*(brute_reach(kept, q, 2) for q, _ in brute_touched(spans)))
-    assert {tuple(r) for r in lookups.diff_impact_all(spark, folder).select("target", "node", "depth").collect()} == want
+    assert {tuple(r) for r in lookups.diff_impact(spark, folder).select("target", "node", "depth").collect()} == want
 
 
 def kept_edges(spark, folder, rank):
@@ -75,13 +75,13 @@ def test_searches_from_every_symbol(spark, graph):
     folder, spans, links = graph
     names = [q for q, *_ in spans]
     wide = kept_edges(spark, folder, 0)
-    for query, depth in ((lookups.bfs_forward_d3_all, 3), (lookups.bfs_zero_depth_all, 1), (lookups.blast_radius_all, 4)):
+    for query, depth in ((lookups.bfs_forward_d3, 3), (lookups.bfs_zero_depth, 1), (lookups.blast_radius, 4)):
         want = set().union(*(brute_reach(wide, q, depth) for q in names))
         found = query(spark, folder)
         assert {tuple(r) for r in found.select(found.columns[0], "node", "depth").collect()} == want
     high = kept_edges(spark, folder, 3)
     want = set(names).union(*({n for _, n, _ in brute_reach(high, q, 99)} for q in names))
-    assert {r.node for r in lookups.dfs_reachable_all(spark, folder).collect()} == want
+    assert {r.node for r in lookups.dfs_reachable(spark, folder).collect()} == want
 
 
 def test_scores_of_every_source(spark, graph):
@@ -94,9 +94,9 @@ def test_scores_of_every_source(spark, graph):
         good = len(near & sure)
         want[start] = (round(good / len(near), 6) if near else 0, round(good / len(sure), 6) if sure else 0)
     assert len(want) > 20
-    assert {r.scenario: (r.precision, r.recall) for r in searches.eval_blast_all(spark, folder).collect()} == want
+    assert {r.scenario: (r.precision, r.recall) for r in searches.eval_blast(spark, folder).collect()} == want
     p, r = (sum(v[i] for v in want.values()) / len(want) for i in (0, 1))
-    assert tuple(searches.eval_blast_f1_all(spark, folder).first()) == pytest.approx((p, r, 2 * p * r / (p + r)), abs=1e-5)
+    assert tuple(searches.eval_blast_f1(spark, folder).first()) == pytest.approx((p, r, 2 * p * r / (p + r)), abs=1e-5)
 
 
 def test_flows_of_every_entry(spark, graph):
