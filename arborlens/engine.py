@@ -120,11 +120,11 @@ class Engine:
             counts = counts.unionByName(by.select(F.concat(F.lit(f"{label}: "), F.coalesce(column, F.lit("none"))).alias("table_name"), "n"))
         return counts
 
-    def stats_card(self, sources: DataFrame | None = None, central_limit: int | None = 5000, clone_limit: int | None = 10_000) -> DataFrame:
+    def stats_card(self, sources: DataFrame | None = None, central_limit: int | None = None, clone_limit: int | None = None) -> DataFrame:
         """``measure, value``: risk and flow figures, and clones if ``sources`` are given.
 
-        Centrality and risk are left out above ``central_limit`` symbols, clones
-        above ``clone_limit``; None sets no limit.
+        Nothing is left out unless asked for: centrality and risk above
+        ``central_limit`` symbols, clones above ``clone_limit``.
         """
         n = self.symbols.count()
         rows = [("symbols", float(n))]

@@ -128,17 +128,23 @@ def trace_barrels(imports: DataFrame, resolved: DataFrame, exports: DataFrame, e
     """Imported names followed through re-exports: ``source, target`` of the file a name comes from in the end.
 
     ``export_files``: path, specifier, resolved of re-exporting statements. A
-    named re-export goes before a star; a file is visited once per name.
+    named re-export goes before a star, and a star counts only if the file it
+    names exports the name itself; of several the first in the file. A file is
+    visited once per name. ``max_hops`` is part of the meaning: a name that is
+    passed on more often keeps the file where it was last seen.
     """
+    declared = exports.where(F.col("kind") != "star").select(F.col("path").alias("to"), "name").distinct()
     names = imports.select("path", "line", "specifier", F.explode("names.name").alias("name"))
     at, _ = materialize(names.join(resolved, ["path", "line", "specifier"]).select(F.col("path").alias("source"), "name", F.col("resolved").alias("at"), F.array("resolved").alias("seen")), "barrel-0")
     onward = exports.where(F.col("specifier").isNotNull()).join(export_files.select("path", "specifier", "resolved").distinct(), ["path", "specifier"])
-    onward = onward.select(F.col("path").alias("at"), F.col("name").alias("as_name"), F.when(F.col("kind") == "star", 1).otherwise(0).alias("rank"), F.col("resolved").alias("to"))
+    onward = onward.select(F.col("path").alias("at"), F.col("name").alias("as_name"), F.when(F.col("kind") == "star", 1).otherwise(0).alias("rank"), "line", F.col("resolved").alias("to"))
     onward, _ = materialize(onward, "barrel-exports")
     ended = []
     for hop in range(max_hops):
         fits = (at["at"] == onward["at"]) & ((onward["rank"] == 1) | (onward["as_name"] == at["name"])) & ~F.array_contains("seen", F.col("to"))
-        step = at.join(onward, fits).groupBy("source", "name", "seen").agg(F.min(F.struct("rank", "to"))["to"].alias("to"))
+        ways = at.join(onward, fits).select("source", "name", "seen", "rank", "line", "to")
+        ways = ways.where(F.col("rank") == 0).unionByName(ways.where(F.col("rank") == 1).join(declared, ["to", "name"], "left_semi"))
+        step = ways.groupBy("source", "name", "seen").agg(F.min(F.struct("rank", "line", "to"))["to"].alias("to"))
         moved, _ = materialize(step.select("source", "name", F.col("to").alias("at"), F.array_append("seen", F.col("to")).alias("seen")), f"barrel-{hop + 1}")
         ended.append(moved)
         if moved.isEmpty():

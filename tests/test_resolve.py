@@ -40,6 +40,25 @@ def test_all_languages(spark):
     }
 
 
+BARRELS = {
+    "app/main.ts": "import { Zed } from '../lib';\nimport { Deep } from '../lib';\nimport { Loop } from '../loop/a';\nimport { Gone } from '../lib';\n",
+    "lib/index.ts": "export * from './aaa';\nexport * from './zed';\nexport * from './mid';\n",
+    "lib/aaa.ts": "export const Other = 1;\n",
+    "lib/zed.ts": "export const Zed = 1;\n",
+    "lib/mid.ts": "export { Deep } from './deep';\n",
+    "lib/deep.ts": "export const Deep = 1;\n",
+    "loop/a.ts": "export { Loop } from './b';\n",
+    "loop/b.ts": "export { Loop } from './a';\n",
+}
+
+
+def test_barrels_with_two_stars_a_chain_and_a_cycle(spark):
+    sources = spark.createDataFrame([(p, bytearray(t.encode())) for p, t in BARRELS.items()], "path string, content binary")
+    edges = resolve_all(extract(sources), sources.select("path"))
+    got = {r.target for r in edges.where("kind = 'imports_from' AND source = 'app/main.ts'").collect()}
+    assert got == {"lib/index.ts", "lib/zed.ts", "lib/deep.ts", "loop/a.ts", "loop/b.ts"}
+
+
 def test_paths(spark):
     rows = spark.createDataFrame([("a/./b/../c",), ("../x",), ("",), ("a//b",)], "p string").select(normal_path(F.col("p")))
     assert [r[0] for r in rows.collect()] == ["a/c", None, "", "a/b"]

@@ -111,15 +111,15 @@ def test_flows_of_every_entry(spark, graph):
         open_paths += grown
         if not grown:
             want.append((path[0], " > ".join(path), len(path)))
-    assert sorted(tuple(r) for r in analyses.flow_paths_entries_d4(spark, folder).collect()) == sorted(want)
-    totals = analyses.flow_totals_entries_d4(spark, folder).first()
+    assert sorted(tuple(r) for r in analyses.flow_paths_d4(spark, folder).collect()) == sorted(want)
+    totals = analyses.flow_totals_d4(spark, folder).first()
     assert (totals.n_flows, totals.n_entries, totals.max_depth) == (len(want), len(kinds), max(d for *_, d in want))
     counts = Counter(n for _, path, _ in want for n in path.split(" > "))
-    assert {r.node: r.n_flows for r in analyses.flow_node_counts_entries_d4(spark, folder).collect()} == counts
+    assert {r.node: r.n_flows for r in analyses.flow_node_counts_d4(spark, folder).collect()} == counts
     target = "f1.py::s01"
     analyses.TARGET, old = target, analyses.TARGET
     try:
-        got = sorted(tuple(r) for r in analyses.flows_through_target_entries_d4(spark, folder).collect())
+        got = sorted(tuple(r) for r in analyses.flows_through_target_d4(spark, folder).collect())
     finally:
         analyses.TARGET = old
     assert got == sorted(w for w in want if target in w[1].split(" > "))
@@ -141,7 +141,7 @@ def test_changed_files_of_the_last_run(spark, graph, tmp_path):
     spark.createDataFrame(runs, "run_id bigint, status string").write.parquet(f"{tmp_path}/index_runs.parquet")
     home = {q: f for q, f, *_ in spans}
     want = {home[a] for _, a, b in links if home.get(b) == "f2.py" and a in home} - {"f2.py"}
-    assert want and {r.path for r in ingest.incremental_dependents_last_run(spark, str(tmp_path)).collect()} == want
+    assert want and {r.path for r in ingest.incremental_dependents(spark, str(tmp_path)).collect()} == want
     left = {(k, a, b) for k, a, b in links if "f2.py" not in (home.get(a), home.get(b))}
-    got = ingest.removed_file_edges_last_run(spark, str(tmp_path)).select("kind", "source", "target")
+    got = ingest.removed_file_edges(spark, str(tmp_path)).select("kind", "source", "target")
     assert {tuple(r) for r in got.collect()} == left
