@@ -82,18 +82,23 @@ class Engine:
             return flows.flows_through(through, self.entry_points(), self.edges, self.config.flows.max_depth)
         return flows.capped_flows(self.entry_points(), self.edges, self.config.flows)
 
+    def flows_truncated(self) -> bool:
+        """Whether there are more flows than ``flows`` gives."""
+        return flows.flows_truncated(self.entry_points(), self.edges, self.config.flows)
+
     def criticality(self) -> DataFrame:
         entries, _ = materialize(self.entry_points(), "entries")
         found = flows.criticality(self.symbols, self.edges, flows.capped_flows(entries, self.edges, self.config.flows), entries)
         return found.orderBy(F.desc("betweenness"), "qualified_name")
 
-    def risk(self, extra_patterns: tuple[str, ...] = (), without_patterns: tuple[str, ...] = ()) -> DataFrame:
-        """Risk of every symbol; patterns are the configured and extra ones less those taken out."""
+    def risk(self, extra_patterns: tuple[str, ...] = (), without_patterns: tuple[str, ...] = (), limit: int | None = None) -> DataFrame:
+        """Risk of every symbol, or of the ``limit`` riskiest; patterns are the configured and extra ones less those taken out."""
         own = self.config.risk
         patterns = tuple(p for p in dict.fromkeys((*own.patterns, *extra_patterns)) if p not in without_patterns)
         config = RiskConfig(own.criticality, own.coupling, own.test_gap, own.sensitivity, own.min_score, patterns)
         between = flows.betweenness(self.symbols, self.edges).withColumnRenamed("betweenness", "criticality")
-        return analysis.risk_scores(self.symbols, self.edges, between, config).orderBy(F.desc("composite"), "qualified_name")
+        found = analysis.risk_scores(self.symbols, self.edges, between, config).orderBy(F.desc("composite"), "qualified_name")
+        return found if limit is None else found.limit(limit)
 
     def clones(self, sources: DataFrame) -> DataFrame:
         """Clusters of clones; ``sources``: path, content (text)."""

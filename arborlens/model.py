@@ -97,7 +97,6 @@ def parse_confidence(label: str) -> int:
 class FlowConfig:
     max_depth: int = 20
     max_flows: int = 1000
-    visit_budget: int = 100_000
     max_public_roots: int = 50
     extra_entry_patterns: tuple[str, ...] = ()
     excluded_entry_patterns: tuple[str, ...] = ()
@@ -107,7 +106,6 @@ class FlowConfig:
 class CloneConfig:
     threshold: float = 0.7
     min_lines: int = 5
-    max_pairs_per_bucket: int = 500
 
 
 @dataclass(frozen=True)

@@ -8,12 +8,15 @@ the flows a depth-first search with the cap gives, and bounds every level.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
+from dataclasses import replace
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..model import HIGH_KINDS, FlowConfig
@@ -93,15 +96,22 @@ def flows_through(name: str, entries: DataFrame, edges: DataFrame, max_depth: in
     return flow_paths(entries.join(near, "qualified_name", "left_semi"), edges, max_depth).where(F.array_contains("path", F.lit(name)))
 
 
-def betweenness(symbols: DataFrame, edges: DataFrame, worker_edges: int = 2_000_000) -> DataFrame:
+def flows_truncated(entries: DataFrame, edges: DataFrame, config: FlowConfig = FlowConfig()) -> bool:
+    """Whether there are more flows than ``capped_flows`` gives."""
+    return capped_flows(entries, edges, replace(config, max_flows=config.max_flows + 1)).count() > config.max_flows
+
+
+def betweenness(symbols: DataFrame, edges: DataFrame, method: str = "source") -> DataFrame:
     """``qualified_name, betweenness`` of every symbol: directed, unweighted, over high-confidence edges between symbols.
 
     Parallel edges count as separate paths; the sum is divided by (n-1)(n-2) for
-    n symbols (three or more). Up to ``worker_edges`` edges the workers read the
-    edges from the shared folder and take whole sources each; beyond, all
-    sources advance together in DataFrames keyed by (source, node). Both are
-    exact.
+    n symbols (three or more). By ``source``, workers read the edges as numbers
+    (16 bytes each) from the shared folder and take whole sources each; by
+    ``level``, all sources advance together in DataFrames keyed by (source,
+    node), for edges beyond a worker's memory. Both are exact.
     """
+    if method not in ("source", "level"):
+        raise ValueError("method must be source or level")
     names = symbols.select("qualified_name")
     links = high_edges(edges).select("source", "target")
     for end in ("source", "target"):
@@ -111,16 +121,12 @@ def betweenness(symbols: DataFrame, edges: DataFrame, worker_edges: int = 2_000_
     links = edges.sparkSession.read.parquet(path)
     n = names.count()
     scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 0.0
-    if links.count() <= worker_edges:
-        sums = _by_source(links, path)
-    else:
-        sums = _by_level(links)
+    sums = _by_source(links, path) if method == "source" else _by_level(links)
     rows = names.join(sums.groupBy("qualified_name").agg(F.sum("dependency").alias("d")), "qualified_name", "left")
     return rows.select("qualified_name", F.round(F.coalesce("d", F.lit(0.0)) * scale, 12).alias("betweenness"))
 
 
 def _by_source(links: DataFrame, path: str) -> DataFrame:
-    local = path.removeprefix("file://").removeprefix("file:")
     sources = links.select(F.col("source").alias("qualified_name")).distinct().repartition(4 * task_count(links.sparkSession))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +135,8 @@ def _by_source(links: DataFrame, path: str) -> DataFrame:
             if not batch.num_rows:
                 continue
             if table is None:
-                table = pq.read_table(local, columns=["source", "target"])
+                system, place = arrow_fs.FileSystem.from_uri(re.sub(r"^(?:file:)?/(?!/)", "file:///", path))
+                table = pq.read_table(place, filesystem=system, columns=["source", "target"])
                 ends = np.concatenate([table["source"].to_numpy(), table["target"].to_numpy()])
                 names, codes = np.unique(ends.astype(str), return_inverse=True)
                 tails, heads = codes[: table.num_rows], codes[table.num_rows :]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.names import extension, glob_pattern, language_of
@@ -11,6 +13,28 @@ from .changes import SUPPORTED
 IGNORED_DIRS = [".git", "target", "node_modules"]
 
 
+def project_root(start: str, marks: tuple[str, ...] = (".git",)) -> str | None:
+    """The nearest folder at or above ``start`` that holds one of ``marks``."""
+    here = Path(start).resolve()
+    return next((str(folder) for folder in (here, *here.parents) if any((folder / mark).exists() for mark in marks)), None)
+
+
+def current_head(root: str) -> str | None:
+    """The commit that the working tree below ``root`` is at, read from the version control's files; None without any."""
+    folder = Path(root) / ".git"
+    if not (folder / "HEAD").is_file():
+        return None
+    head = (folder / "HEAD").read_text().strip()
+    if not head.startswith("ref: "):
+        return head
+    name = head.removeprefix("ref: ")
+    if (folder / name).is_file():
+        return (folder / name).read_text().strip()
+    packed = folder / "packed-refs"
+    listed = packed.read_text().splitlines() if packed.is_file() else []
+    return next((line.split(" ", 1)[0] for line in listed if line.endswith(f" {name}")), None)
+
+
 def ignore_rules(lines: list[str]) -> list[tuple[bool, str]]:
     """Ignore-file lines as (keep, pattern) in order: ``!`` keeps, a slash inside anchors, a slash at the end means a folder."""
     rules = []

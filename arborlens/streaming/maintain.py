@@ -70,6 +70,28 @@ def apply_changes(store: GraphStore, changes: DataFrame, tree: DataFrame, batch:
     return True
 
 
+def freshness(stored: DataFrame, tree: DataFrame) -> DataFrame:
+    """How a tree (path, hash) differs from the ``stored`` files (path, hash): ``path, state`` with new, changed or removed; equal files have no row."""
+    now = tree.where(F.col("path").isNotNull()).groupBy("path").agg(F.max("hash").alias("now"), F.lit(True).alias("is_there"))
+    both = stored.select("path", F.col("hash").alias("held"), F.lit(True).alias("was_there")).join(now, "path", "full")
+    state = F.when(F.col("was_there").isNull(), "new").when(F.col("is_there").isNull(), "removed").when(~F.col("now").eqNullSafe(F.col("held")), "changed")
+    return both.select("path", state.alias("state")).where(F.col("state").isNotNull())
+
+
+def ensure_fresh(store: GraphStore, tree: DataFrame, go_module: str | None = None) -> bool:
+    """Bring the store up to date with ``tree`` (path, hash, content) before a query; returns whether anything had changed.
+
+    Only what differs is read on, with its dependents; a fresh store costs one comparison of hashes.
+    """
+    stale, _ = materialize(freshness(store.read("files"), tree), "stale")
+    if stale.isEmpty():
+        return False
+    touched = stale.join(tree.select("path", "content"), "path", "left")
+    op = F.when(F.col("state") == "removed", "delete").otherwise("modify")
+    last = store.last_batch()
+    return apply_changes(store, touched.select("path", "content", op.alias("op"), F.lit(0).cast("long").alias("at")), tree, 0 if last is None else last + 1, go_module)
+
+
 def watch(changes: DataFrame, store: GraphStore, tree: DataFrame, checkpoint: str, interval: str = "100 milliseconds", once: bool = False) -> StreamingQuery:
     """Run ``apply_changes`` on each micro-batch of the streaming ``changes``."""
     writer = changes.writeStream.option("checkpointLocation", checkpoint)

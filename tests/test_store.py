@@ -1,11 +1,13 @@
+import pathlib
+
 import pytest
 from pyspark.sql import functions as F
 
 from arborlens.runtime import new_path
 from arborlens.sources.changes import changed_paths, diff_hunks, modified_paths
 from arborlens.sources.store import GraphStore
-from arborlens.sources.tree import scan_tree
-from arborlens.streaming.maintain import apply_changes, dependents, full_index, watch
+from arborlens.sources.tree import current_head, project_root, scan_tree
+from arborlens.streaming.maintain import apply_changes, dependents, ensure_fresh, freshness, full_index, watch
 
 A = "from b import g\n\ndef f():\n    return g()\n"
 B = "def g():\n    return 1\n"
@@ -67,12 +69,71 @@ def test_embeddings_and_schema(spark):
     assert {(r.qualified_name, r.text_hash) for r in store.read("embeddings").collect()} == {("q", "i"), ("r", "j")}
     store.remove_embeddings(rows.where("qualified_name = 'q'"))
     assert store.read("embeddings").count() == 1
+    assert store.has_embedding("r") and not store.has_embedding("q") and store.embedding_count() == 1
+    assert [tuple(r) for r in store.embedding_hashes().collect()] == [("r", "j")]
     number, now = store.log.newest()
     store.log.publish(number + 1, now | {"schema": 99})
     with pytest.raises(ValueError):
         GraphStore(spark, store.root)
 
 
+def folder_bytes(root):
+    return sum(f.stat().st_size for f in pathlib.Path(root.removeprefix("file:")).rglob("*.parquet"))
+
+
+def test_a_small_batch_writes_little(spark):
+    store = GraphStore(spark, new_path(spark, "store"), max_segments=3)
+    files = {f"m{i:03}_py": "".join(f"def f{i}_{k}():\n    return {k}\n\n" for k in range(40)) for i in range(60)} | {"a_py": A, "b_py": B}
+    content = tree(spark, **files)
+    full_index(store, content)
+    before = folder_bytes(store.root)
+    assert apply_changes(store, change(spark, ("b.py", B + "# new\n", "modify", 1)), content, 1)
+    assert folder_bytes(store.root) - before < before / 4
+    assert len(names(store)) == 60 * 40 + 2 and store.read("files").count() == 62
+    for batch in range(2, 6):
+        apply_changes(store, change(spark, ("b.py", B + f"# {batch}\n", "modify", batch)), content, batch)
+    assert len(names(store)) == 60 * 40 + 2 and store.vacuum() > 0
+    assert all(len(s) <= 3 for s in store._now()[1]["tables"].values())
+    assert len(names(store)) == 60 * 40 + 2 and ("contains", "b.py", "b.py::g") in {(r.kind, r.source, r.target) for r in store.read("edges").collect()}
+
+
+def test_a_store_of_the_schema_before_is_upgraded(spark):
+    store = GraphStore(spark, new_path(spark, "store"))
+    full_index(store, tree(spark, a_py=A, b_py=B))
+    number, now = store.log.newest()
+    store.log.publish(number + 1, {"schema": 2, "tables": {name: segments[0][0] for name, segments in now["tables"].items()}, "batch": 7})
+    again = GraphStore(spark, store.root)
+    assert names(again) == {"a.py::f", "b.py::g"} and again.last_batch() == 7
+    again.remove_files(spark.createDataFrame([("a.py",)], "path string"))
+    assert names(again) == {"b.py::g"} and again.log.newest()[1]["schema"] == 3
+
+
+def test_fresh_before_a_query(spark):
+    store = GraphStore(spark, new_path(spark, "store"))
+    with_hash = lambda **f: tree(spark, **f).withColumn("hash", F.sha2("content", 256))
+    full_index(store, with_hash(a_py=A, b_py=B))
+    assert ensure_fresh(store, with_hash(a_py=A, b_py=B)) is False
+    later = with_hash(a_py=A, c_py="def k(): pass\n")
+    assert {tuple(r) for r in freshness(store.read("files"), later).collect()} == {("b.py", "removed"), ("c.py", "new")}
+    assert ensure_fresh(store, later) is True and names(store) == {"a.py::f", "c.py::k"}
+    assert ensure_fresh(store, later) is False
+
+
+def test_root_and_head(tmp_path):
+    (tmp_path / "p/.git/refs/heads").mkdir(parents=True)
+    (tmp_path / "p/src").mkdir()
+    root = project_root(str(tmp_path / "p/src"))
+    assert root == str((tmp_path / "p").resolve()) and current_head(str(tmp_path)) is None
+    (tmp_path / "p/.git/HEAD").write_text("ref: refs/heads/main\n")
+    assert current_head(root) is None
+    (tmp_path / "p/.git/packed-refs").write_text("# pack\nabc refs/heads/main\n")
+    assert current_head(root) == "abc"
+    (tmp_path / "p/.git/refs/heads/main").write_text("def\n")
+    assert current_head(root) == "def"
+    (tmp_path / "p/.git/HEAD").write_text("123\n")
+    assert current_head(root) == "123"
+
+
 DIFF = """diff --git a/old.py b/new.py
 similarity index 90%
 rename from old.py
