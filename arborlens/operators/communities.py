@@ -2,7 +2,7 @@
 
 Nodes move to the neighbouring community of greatest gain. A sweep is two
 half-sweeps: first the nodes of one random half (a hash of name and sweep) move,
-then the others, so two neighbours rarely swap places; sweeps end when nothing moves.
+then the others, so two neighbours rarely swap places; sweeps end when hardly any moves.
 Communities then become nodes and the next level begins. At the end, members
 of a community that are not connected inside it are split apart, so every
 community is connected.
@@ -57,12 +57,12 @@ def _sweep(adjacent: DataFrame, plan: LoadPlan, labels: DataFrame, total: float,
     return best.select("node", "degree", F.when(moves, F.col("best")).otherwise(F.col("community")).alias("community"), moves.alias("moved"))
 
 
-def detect(symbols: DataFrame, edges: DataFrame, config: CommunityConfig = CommunityConfig(), max_sweeps: int = 200) -> DataFrame:
+def detect(symbols: DataFrame, edges: DataFrame, config: CommunityConfig = CommunityConfig(), settle: float = 0.05, max_sweeps: int = 400) -> DataFrame:
     """``qualified_name, community_id, n_members``; ids from 0 by size, then smallest name.
 
-    A level ends when both halves in turn moved nothing. Every move raises
-    the modularity only if its neighbours stay, so a level that does not settle
-    within ``max_sweeps`` half-sweeps is an error, not a result. Communities below ``min_size`` and symbols without edges have no row.
+    A level ends when a whole sweep moved no more than the share ``settle`` of
+    its nodes (0: none at all); the next level goes on from there. A level that
+    does not settle in ``max_sweeps`` half-sweeps is an error, not a result. Communities below ``min_size`` and symbols without edges have no row.
     """
     base, _ = materialize(weights(symbols, edges), "community-weights")
     total = float(base.agg(F.sum("weight")).first()[0] or 0)
@@ -76,14 +76,13 @@ def detect(symbols: DataFrame, edges: DataFrame, config: CommunityConfig = Commu
         degree = adjacent.groupBy(F.col("a").alias("node")).agg(F.sum(F.when(F.col("a") == F.col("b"), 2 * F.col("weight")).otherwise(F.col("weight"))).cast("double").alias("degree"))
         labels = degree.select("node", "degree", F.col("node").alias("community"))
         plan = plan_load(adjacent, "b")
-        changed, quiet = False, True
+        n_nodes, changed, n_moved = labels.count(), False, 0
         for number in range(max_sweeps):
             moved, _ = materialize(_sweep(adjacent, plan, labels, total, config.resolution, level * max_sweeps + number), "community-sweep")
             labels = moved.drop("moved")
-            still = moved.where("moved").isEmpty()
-            changed |= not still
-            quiet = still and (quiet or number % 2 == 0)
-            if quiet and number % 2 == 1:
+            n_moved = moved.where("moved").count() + (n_moved if number % 2 else 0)
+            changed |= n_moved > 0
+            if number % 2 == 1 and n_moved <= settle * n_nodes:
                 break
         else:
             raise RuntimeError(f"level {level} did not settle in {max_sweeps} half-sweeps")

@@ -82,19 +82,19 @@ def folder_bytes(root):
 
 
 def test_a_small_batch_writes_little(spark):
-    store = GraphStore(spark, new_path(spark, "store"), max_segments=3)
-    files = {f"m{i:03}_py": "".join(f"def f{i}_{k}():\n    return {k}\n\n" for k in range(40)) for i in range(60)} | {"a_py": A, "b_py": B}
+    store = GraphStore(spark, new_path(spark, "store"), max_segments=2)
+    files = {f"m{i:03}_py": "".join(f"def f{i}_{k}():\n    return {k}\n\n" for k in range(40)) for i in range(20)} | {"a_py": A, "b_py": B}
     content = tree(spark, **files)
     full_index(store, content)
     before = folder_bytes(store.root)
     assert apply_changes(store, change(spark, ("b.py", B + "# new\n", "modify", 1)), content, 1)
-    assert folder_bytes(store.root) - before < before / 4
-    assert len(names(store)) == 60 * 40 + 2 and store.read("files").count() == 62
-    for batch in range(2, 6):
+    assert folder_bytes(store.root) - before < before / 3
+    assert len(names(store)) == 20 * 40 + 2 and store.read("files").count() == 22
+    for batch in range(2, 4):
         apply_changes(store, change(spark, ("b.py", B + f"# {batch}\n", "modify", batch)), content, batch)
-    assert len(names(store)) == 60 * 40 + 2 and store.vacuum() > 0
-    assert all(len(s) <= 3 for s in store._now()[1]["tables"].values())
-    assert len(names(store)) == 60 * 40 + 2 and ("contains", "b.py", "b.py::g") in {(r.kind, r.source, r.target) for r in store.read("edges").collect()}
+    assert len(names(store)) == 20 * 40 + 2 and store.vacuum() > 0
+    assert all(len(s) <= 2 for s in store._now()[1]["tables"].values())
+    assert len(names(store)) == 20 * 40 + 2 and ("contains", "b.py", "b.py::g") in {(r.kind, r.source, r.target) for r in store.read("edges").collect()}
 
 
 def test_a_store_of_the_schema_before_is_upgraded(spark):
