@@ -158,7 +158,7 @@ def pack(
         level += 1
         n_open = rest.count()
         shards = min(shards - 1, max(1, math.ceil(n_open / shard_items)))
-        again = rest.select("limit_name", F.col("bin").alias("item"), "n_tokens").join(F.broadcast(capacities), "limit_name")
+        again = rest.select("limit_name", F.col("bin").alias("item"), "n_tokens").join(capacities, "limit_name")
         again = again.withColumn("shard", F.pmod(F.xxhash64("item"), F.lit(shards)))
         again = again.withColumns({c: F.lit(None).cast("long") for c in ("doc_id", "piece", "start_token")})
         moved, rest = _run_level(again, level, shards, open_bins, ["item"])
