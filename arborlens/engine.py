@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -13,7 +12,7 @@ from .model import EngineConfig, RiskConfig, confidence_rank, parse_confidence
 from .operators import analysis, clones, communities, flows, search
 from .operators.evaluate import blast_scores, category_means, precision_at, ranked, reciprocal_ranks
 from .operators.symbolgraph import at_least, changed_symbols, find_cards, references_from, references_to, table_counts
-from .operators.traversal import bfs
+from .operators.traversal import bfs, nodes_within
 from .runtime import materialize
 from .sources.changes import SUPPORTED, diff_hunks
 from .sources.store import GraphStore
@@ -167,11 +166,9 @@ class Engine:
 
     def search_suite(self, queries: DataFrame, limit: int = 20) -> DataFrame:
         """Mean reciprocal rank and precision by category of ``queries`` (query_id, query, expected, category)."""
-        listed = queries.select("query_id", "query", "expected", "category").collect()
-        results = [search.phrase_search(self.symbols, r["query"], limit).select(F.lit(r["query_id"]).alias("query_id"), F.col("qualified_name").alias("item"), "score") for r in listed]
-        if not results:
-            return self.spark.createDataFrame([], "category string, n bigint, mean_reciprocal_rank double, mean_precision double")
-        found, _ = materialize(ranked(reduce(DataFrame.unionByName, results), "query_id", "item", "score"), "suite")
+        listed = [(r["query_id"], r["query"]) for r in queries.select("query_id", "query").collect()]
+        results = search.phrase_search_all(self.symbols, listed, limit)
+        found, _ = materialize(ranked(results, "query_id", "qualified_name", "score"), "suite")
         expected = queries.select("query_id", F.explode("expected").alias("item"))
         first = category_means(reciprocal_ranks(found, expected, queries), queries, "reciprocal_rank")
         second = category_means(precision_at(found, expected, queries, 5), queries, "precision").drop("n")
@@ -179,9 +176,12 @@ class Engine:
 
     def impact_suite(self, scenarios: DataFrame) -> DataFrame:
         """Precision and recall of each of ``scenarios`` (scenario, target, depth, confidence, expected_affected)."""
-        listed = scenarios.select("scenario", "target", "depth", "confidence").collect()
-        parts = [bfs(at_least(self.edges, parse_confidence(r["confidence"])), self._frame(r["target"]), "forward", r["depth"]).select(F.lit(r["scenario"]).alias("scenario"), "node") for r in listed]
-        predicted = reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], "scenario string, node string")
+        groups = scenarios.select("depth", "confidence").distinct().collect()
+        predicted = self.spark.createDataFrame([], scenarios.select("scenario").schema).withColumn("node", F.lit(None).cast("string"))
+        for g in groups:  # one search for all scenarios of a depth and confidence
+            own = scenarios.where(F.col("depth").eqNullSafe(g["depth"]) & F.col("confidence").eqNullSafe(g["confidence"])).select("scenario", F.col("target").alias("start"))
+            reached = nodes_within(at_least(self.edges, parse_confidence(g["confidence"])), own.select("start"), "forward", g["depth"])
+            predicted = predicted.unionByName(reached.join(own, "start").select("scenario", "node"))
         return blast_scores(predicted, scenarios.select("scenario", F.explode("expected_affected").alias("node")), scenarios)
 
 

@@ -76,6 +76,33 @@ def phrase_search(symbols: DataFrame, query: str, limit: int | None = 20) -> Dat
     return scored.orderBy(F.desc("score"), "qualified_name").limit(limit) if limit else scored
 
 
+def phrase_search_all(symbols: DataFrame, queries: list[tuple[int, str]], limit: int = 20) -> DataFrame:
+    """``query_id, qualified_name, score``: ``phrase_search`` of many stated queries (id, text) as one plan.
+
+    Postings meet the queries' terms in one join; of a last term they meet its
+    prefix, cut to each length that occurs among the queries.
+    """
+    spark = symbols.sparkSession
+    asked = [(i, query_terms(text)) for i, text in queries]
+    rows = [(i, n, "^" + w if n == len(words) - 1 else "=" + w, len(words)) for i, words in asked for n, w in enumerate(words)]
+    wanted = spark.createDataFrame(rows, "query_id bigint, nth int, token string, n_words int")
+    lengths = sorted({len(words[-1]) for _, words in asked if words})
+    tokens = F.array(F.concat(F.lit("="), "term"), *[F.when(F.length("term") >= n, F.concat(F.lit("^"), F.substring("term", 1, n))) for n in lengths])
+    near = postings(symbols).select("qualified_name", "column", "position", F.explode(F.array_distinct(F.array_compact(tokens))).alias("token")).join(wanted, "token")
+    by = ["query_id", "qualified_name"]
+    phrases = near.groupBy(*by, "column", "n_words", (F.col("position") - F.col("nth")).alias("at")).agg(F.count_distinct("nth").alias("n"))
+    hits = phrases.where(F.col("n") == F.col("n_words")).groupBy(*by).agg(F.count(F.lit(1)).alias("tf"))
+    size = sum((F.size(terms(F.col(c))) for c in TEXT_COLUMNS), F.lit(0))
+    totals = symbols.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(size).alias("avg_len")).withColumn("one", F.lit(1))
+    sized = hits.join(symbols.select("qualified_name", size.alias("len")), "qualified_name")
+    counted = sized.join(hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_hits")), "query_id").withColumn("one", F.lit(1)).join(F.broadcast(totals), "one")
+    idf = F.log(1 + (F.col("n_docs") - F.col("n_hits") + 0.5) / (F.col("n_hits") + 0.5))
+    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "qualified_name"))
+    scored = counted.select(*by, F.round(idf * weight, 6).alias("score"))
+    return scored.withColumn("place", place).where(F.col("place") <= limit).drop("place")
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays in double precision; 0 if either has no length."""
 

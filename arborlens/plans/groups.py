@@ -78,8 +78,11 @@ def community_invariants(spark, sf):
     sizes = joined.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.coalesce("component", "qualified_name")).alias("pieces"))
     held = sizes.agg(F.bool_and(F.col("pieces") == 1).alias("connected"), F.bool_and(F.col("n") >= 2).alias("large_enough"))
     once = part.agg((F.count(F.lit(1)) == F.count_distinct("qualified_name")).alias("disjoint"))
-    good = modularity(part, links).select(F.col("modularity").alias("q")).crossJoin(modularity(_partition(own), links).select(F.col("modularity").alias("folders")))
-    return held.crossJoin(once).crossJoin(good.select((F.col("q") > F.col("folders")).alias("better_than_folders")))
+    one = F.lit(1).alias("one")
+    rows = held.select("*", one).join(once.select("*", one), "one")
+    rows = rows.join(modularity(part, links).select(F.col("modularity").alias("q"), one), "one")
+    rows = rows.join(modularity(_partition(own), links).select(F.col("modularity").alias("folders"), one), "one")
+    return rows.select("connected", "large_enough", "disjoint", (F.col("q") > F.col("folders")).alias("better_than_folders"))
 
 
 QUERIES = {

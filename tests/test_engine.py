@@ -9,6 +9,7 @@ from arborlens.model import EngineConfig
 from arborlens.operators.search import hash_embedder
 from arborlens.runtime import new_path, numbered
 from arborlens.sources.store import GraphStore
+from arborlens.operators.search import phrase_search, phrase_search_all
 from arborlens.sources.suites import read_manifest, read_queries, read_scenarios
 from arborlens.streaming.maintain import full_index
 
@@ -77,6 +78,15 @@ def test_suites(engine, spark, tmp_path):
     assert (found.precision, found.recall) == (1.0, 0.5)
 
 
+def test_many_queries_as_one(engine):
+    texts = ["helper", "app util", "sto", "get", "nothing at all", "", "py st"]
+    found = phrase_search_all(engine.symbols, list(enumerate(texts))).collect()
+    for i, text in enumerate(texts):
+        alone = {(r.qualified_name, r.score) for r in phrase_search(engine.symbols, text).collect()}
+        assert {(r.qualified_name, r.score) for r in found if r.query_id == i} == alone
+    assert phrase_search_all(engine.symbols, []).count() == 0
+
+
 def test_config(tmp_path):
     path = tmp_path / "c.toml"
     assert load_config(str(path)) == EngineConfig()
