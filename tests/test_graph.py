@@ -1,12 +1,13 @@
 import random
 from collections import defaultdict, deque
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from arborlens.functions.names import file_stem, glob_pattern, language_of, matches_any, name_symbol, pascal, segments
 from arborlens.model import CloneConfig, DeadCodeConfig, FlowConfig, RiskConfig, parse_confidence
-from arborlens.operators import clones as C
+from arborlens.operators import clones as C, leiden as L
 from arborlens.operators.analysis import coupling, dead_layers, entry_points, risk_files, risk_stats, sensitivity, test_gaps
 from arborlens.operators.symbolgraph import changed_symbols, current_edges, current_symbols, find_by_name, find_cards
 from arborlens.operators.communities import cards, detect, modularity, weights
@@ -308,6 +309,31 @@ def test_communities(spark):
     assert detect(own, links.where("false")).count() == 0
 
 
+def test_communities_are_refined(spark):
+    """Both ways refine: communities are connected, and no two of them should be one."""
+    of, degree = [0, 0, 0, 0], np.array([1, 1, 1, 1])
+    apart = L._Graph(np.array([0, 2]), np.array([1, 3]), np.array([1, 1]), degree)
+    parts = L._refined(apart, 1 / 4, [0, 1, 2, 3], of)
+    assert parts[0] == parts[1] != parts[2] == parts[3]
+    rng = random.Random(8)
+    names = [f"n{i:02}" for i in range(60)]
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[:i] if rng.random() < (0.3 if i // 12 == names.index(b) // 12 else 0.02)]
+    own, links = symbols(spark, *names), edges(spark, *pairs)
+    for limit in (1000, 0):
+        found = {r.qualified_name: r.community_id for r in detect(own, links, task_links=limit).collect()}
+        assert found.keys() == {x for p in pairs for x in p}
+        inner = [p for p in pairs if found[p[0]] == found[p[1]]]
+        whole = connected_components(spark.createDataFrame(inner, "a string, b string")).groupBy("component").count().count()
+        assert whole == len(set(found.values()))
+        weight = {c: sum((found[a] == c) + (found[b] == c) for a, b in pairs) for c in found.values()}
+        for x in weight:
+            for y in weight:
+                between = sum({found[a], found[b]} == {x, y} for a, b in pairs)
+                assert x == y or between <= weight[x] * weight[y] / (2 * len(pairs)) + 1e-6
+        part = spark.createDataFrame(list(found.items()), "qualified_name string, community string")
+        assert modularity(part, weights(own, links)).first()[0] > 0.4
+
+
 def test_search(spark):
     own = symbols(spark, {"qualified_name": "a::User", "kind": "struct"}, {"qualified_name": "a::UserService", "kind": "class"}, {"qualified_name": "b::find_user", "signature": "(user name)"})
     assert [r.qualified_name for r in phrase_search(own, "User").collect()][0] == "a::User"
