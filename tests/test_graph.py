@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from arborlens.functions.names import file_stem, glob_pattern, language_of, matches_any, name_symbol, pascal, segments
-from arborlens.model import CloneConfig, DeadCodeConfig, FlowConfig, RiskConfig, parse_confidence
+from arborlens.model import CloneConfig, DeadCodeConfig, FlowConfig, RiskConfig, confidence_rank, parse_confidence
 from arborlens.operators import clones as C, leiden as L
 from arborlens.operators.analysis import coupling, dead_layers, entry_points, risk_files, risk_stats, sensitivity, test_gaps
 from arborlens.operators.symbolgraph import changed_symbols, current_edges, current_symbols, find_by_name, find_cards
@@ -15,7 +15,8 @@ from arborlens.operators.components import connected_components
 from arborlens.operators.evaluate import blast_scores, macro_f1, precision_at, reciprocal_ranks
 from arborlens.operators.flows import _by_level, betweenness, capped_flows, flow_paths, flows_through
 from arborlens.operators.search import fuse, hybrid_search, kind_boosts, nearest_in_blocks, phrase_search, query_terms
-from arborlens.operators.traversal import bfs, dfs_order, reachable
+from arborlens.operators.traversal import bfs, bfs_last, dfs_order, reachable
+from arborlens.operators.workgraph import Dependencies
 
 test_gaps.__test__ = False
 SYMBOL = (
@@ -91,6 +92,45 @@ def test_bfs_edges_of_meaning(spark):
         dfs_order(links, starts(spark, "a"), max_nodes=1)
 
 
+def test_workers_search_as_joins_do(spark):
+    """Searches of workers that hold the graph give what those in DataFrames give, also for repeated edges, loops and names out of the graph."""
+    rng = random.Random(11)
+    names = [f"n{i:02}" for i in range(40)]
+    kinds = ["calls", "contains", "imports_from", "other"]
+    rows = [(rng.choice(kinds), rng.choice(names), rng.choice(names)) for _ in range(110)]
+    links, own = edges(spark, *rows), starts(spark, *names, "n00", "away", None)
+    for direction in ("forward", "backward"):
+        for depth in (0, 1, 3, 9):
+            rank = {r.kind: r.t for r in links.select("kind", confidence_rank(F.col("kind")).alias("t")).distinct().collect()}
+            wanted = sorted((r.start, r.node, r.depth, str(rank[r.edge_kind])) for r in bfs(links, own, direction, depth).collect())
+            got = bfs_last(links, own, direction, depth, confidence_rank(F.col("kind"))).collect()
+            assert sorted((r.start, r.node, r.depth, str(r.tag)) for r in got) == wanted
+        held, sent = (sorted(map(tuple, dfs_order(links, own, direction, task_links=limit).collect())) for limit in (1000, 0))
+        assert held == sent and held
+        most = max(sum(r[0] == s for r in held) for s in names)
+        assert dfs_order(links, own, direction, max_nodes=most).count() == len(held)
+        with pytest.raises(ValueError):
+            dfs_order(links, own, direction, max_nodes=most - 1)
+    assert bfs_last(links.where("false"), own, "forward", 2, F.lit(1)).count() == 0 == dfs_order(links.where("false"), own).count()
+
+
+def test_betweenness_of_many_sources_at_once(spark):
+    rng = random.Random(12)
+    names = [f"n{i:03}" for i in range(150)]
+    pairs = [(rng.choice(names), rng.choice(names)) for _ in range(400)] + [("n000", "n001")] * 3
+    wanted = brute_between(names, pairs)
+    got = {r.qualified_name: r.betweenness for r in betweenness(symbols(spark, *names), edges(spark, *pairs)).collect()}
+    assert all(abs(got[n] - wanted[n]) < 1e-9 for n in names)
+    ends = sorted({x for p in pairs for x in p})
+    number = {name: i for i, name in enumerate(ends)}
+    tails, heads = np.array(sorted((number[a], number[b]) for a, b in pairs)).T
+    sums = Dependencies(len(ends), np.searchsorted(tails, np.arange(len(ends) + 1)), heads, cells=3 * len(ends))
+    for k in range(0, len(ends), sums.width):
+        sums.add(np.arange(k, min(k + sums.width, len(ends))))
+    scale = (len(names) - 1) * (len(names) - 2)
+    assert sums.width == 3 and all(abs(sums.total[number[n]] / scale - wanted[n]) < 1e-9 for n in ends)
+
+
 def test_lookups(spark):
     own = symbols(spark, "a::foo", "a::Foo_bar", "a::axbycz", "b::__init__", "b::__init_extra")
     assert {r.name for r in find_by_name(own, "Foo").collect()} == {"foo", "Foo_bar"}
