@@ -301,6 +301,29 @@ def test_similarity_join_against_brute_force(spark):
         assert got.keys() == wanted.keys() and all(abs(got[k] - wanted[k]) < 1e-9 for k in got)
 
 
+def test_similarity_join_in_blocks(spark):
+    """The same pairs whatever the blocks, also of sizes that differ and of groups that share a block."""
+    rng = random.Random(3)
+    items = [(rng.choice("gh"), f"i{n:02}", [rng.choice("abcdefghijkl") for _ in range(rng.randint(0, 30))]) for n in range(50)]
+    items += [(g, i + "x", [*t, "z"]) for g, i, t in items[::2]] + [("alone", "i", ["a"])]
+    frame = spark.createDataFrame(items, "`group` string, id string, tokens array<string>")
+    wanted = {}
+    for g, a, x in items:
+        for h, b, y in items:
+            both = sum(min(x.count(k), y.count(k)) for k in set(x))
+            if g == h and a < b and x and y and both / (len(x) + len(y) - both) >= 0.6:
+                wanted[g, a, b] = both / (len(x) + len(y) - both)
+    for block in (7, 1000):
+        got = {(r.group, r.a, r.b): r.similarity for r in C.similar_multisets(frame, 0.6, block).collect()}
+        assert got == pytest.approx(wanted) and got
+    words = ["def", "a", "bb", "(", "7x", "_", "c"]
+    texts = [(g, i, [rng.choice(words) for _ in range(12)]) for g, i, _ in items]
+    frame = spark.createDataFrame(texts, "`group` string, id string, tokens array<string>")
+    by_plan = C.similar_multisets(frame.withColumn("tokens", C.normalized(F.col("tokens"))), 0.8)
+    one, other = ({(r.group, r.a, r.b): r.similarity for r in f.collect()} for f in (by_plan, C.similar_multisets(frame, 0.8, replaced=True)))
+    assert one == other and one
+
+
 def test_clones(spark):
     text = "def f(a):\n    b = a + 1\n    return b\n    # x\n\n"
     near = text.replace("a", "q").replace("b", "w")
