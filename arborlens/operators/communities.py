@@ -74,8 +74,8 @@ def _sweep(adjacent: DataFrame, plan: LoadPlan, labels: DataFrame, total: float,
 def detect(symbols: DataFrame, edges: DataFrame, config: CommunityConfig = CommunityConfig(), max_sweeps: int = 400, task_links: int = 8_000_000) -> DataFrame:
     """``qualified_name, community_id, n_members``; ids from 0 by size, then smallest name.
 
-    Up to ``task_links`` linked pairs are one task (about 100 bytes a pair in
-    memory); more are moved in DataFrames, where a level that does not settle in
+    Up to ``task_links`` linked pairs are one task (an estimated 100 bytes a pair
+    in memory); more are moved in DataFrames, where a level that does not settle in
     ``max_sweeps`` half-sweeps is an error, not a result. Communities below
     ``min_size`` and symbols without edges have no row.
     """
