@@ -340,6 +340,31 @@ def test_clones(spark):
     assert C.clone_summary(classes, clusters, C.clone_links(classes, pairs)).first().duplication_pct == 100.0
 
 
+def test_clone_sums_are_those_of_the_pairs(spark):
+    """Links, clusters and their quality come out alike from pairs and from sums, and sums grow with the classes, not with the pairs."""
+    rng = random.Random(4)
+    words = ["def", "if", "(", ")", "7", "a", "b", "cc", "x1"]
+    texts = [[rng.choice(words) for _ in range(9)] for _ in range(25)] + [["q", "(", str(k), ")"] + ["return", "1", "+"] * 12 for k in range(60)]
+    texts += [["s"], []] + [["y"] * 20 + [chr(97 + k)] for k in range(20)]
+    rows = [(b, g, f"s{i:03}{c}", t) for i, t in enumerate(texts) for c in ("", "x")[: 1 + i % 2] for b, g in [("b" if i % 5 else "c", "Go" if i % 3 else "Rust")]]
+    first = {}
+    for b, g, q, t in sorted(rows, key=lambda r: r[2]):
+        first.setdefault((b, g, *t), q)
+    rows = [(b, g, q, t, first[b, g, *t]) for b, g, q, t in rows]
+    classes = spark.createDataFrame(rows, "bucket string, language string, qualified_name string, tokens array<string>, class_id string").cache()
+    pairs = C.clone_pairs(classes).cache()
+    assert {r.clone_type for r in pairs.collect()} == {"type1", "type2"}
+    assert C.clone_sums(classes).count() < len(rows) < pairs.count() / 3
+    sums = C.clone_sums(classes, block=7).cache()
+    by = [sorted(C.clone_links(classes, p).collect()) for p in (pairs, sums)]
+    assert by[0] == by[1]
+    found = [C.clone_clusters(classes, p).cache() for p in (pairs, sums)]
+    clusters = [sorted(f.collect()) for f in found]
+    assert clusters[0] == clusters[1]
+    quality = [sorted((r.cluster_id, r.n_matches, round(r.avg_similarity, 9), r.clone_type) for r in C.cluster_quality(f, classes, p).collect()) for f, p in zip(found, (pairs, sums))]
+    assert quality[0] == quality[1]
+
+
 def test_components(spark):
     rng = random.Random(5)
     pairs = [(f"n{rng.randint(0, 80)}", f"n{rng.randint(0, 80)}") for _ in range(60)] + [(f"p{i:03}", f"p{i + 1:03}") for i in range(60)]
