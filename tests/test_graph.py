@@ -1,4 +1,5 @@
 import random
+from array import array
 from collections import defaultdict, deque
 
 import numpy as np
@@ -422,6 +423,34 @@ def test_communities_are_refined(spark):
         assert modularity(part, weights(own, links)).first()[0] > 0.4
 
 
+def test_local_moving_by_arrays(monkeypatch):
+    """All nodes at once and hubs as arrays decide like node by node, and in the end no node is left that would move."""
+    rng = np.random.default_rng(2)
+    ends = np.unique(np.sort(np.concatenate([rng.integers(0, 600, (1500, 2)), np.column_stack([np.zeros(400, dtype=int), rng.integers(1, 600, 400)])]), axis=1), axis=0)
+    lo, hi = ends[ends[:, 0] < ends[:, 1]].T
+    weight = rng.integers(1, 4, len(lo))
+    degree = (np.bincount(lo, weight, 600) + np.bincount(hi, weight, 600)).astype(np.int64)
+    graph, scale = L._Graph(lo, hi, weight, degree), 1 / degree.sum()
+    of = array("i", rng.integers(0, 40, 600).tolist())
+    sums = array("q", np.bincount(np.array(of), degree, 600).astype(np.int64).tolist())
+    inside = array("i", [c % 3 for c in of])
+    best = []
+    for hub in (10**6, 1):
+        monkeypatch.setattr(L, "_HUB", hub)
+        best.append([[L._best(graph, v, of, sums, scale, x) for v in range(600)] for x in (None, inside)])
+    gain = lambda v, c, x: sum(w for u, w in zip(*graph.links(v)) if of[u] == c and (x is None or x[u] == x[v])) - scale * degree[v] * (sums[c] - (c == of[v]) * degree[v])
+    for one, other, x in zip(*best, (None, inside)):
+        assert all(a == b or gain(v, a, x) == pytest.approx(gain(v, b, x)) for v, (a, b) in enumerate(zip(one, other)))
+        assert [a == c for a, c in zip(one, of)] == [b == c for b, c in zip(other, of)]
+    assert L._restless(graph, of, sums, scale).tolist() == [a != c for a, c in zip(best[0][0], of)]
+    for hub in (10**6, 200, 1):
+        monkeypatch.setattr(L, "_HUB", hub)
+        found, moved = L._moved(graph, scale, rng.permutation(600).tolist())
+        sums = array("q", np.bincount(np.array(found), degree, 600).astype(np.int64).tolist())
+        monkeypatch.setattr(L, "_HUB", 10**6)
+        assert moved and [L._best(graph, v, found, sums, scale, None) for v in range(600)] == list(found)
+
+
 def test_search(spark):
     own = symbols(spark, {"qualified_name": "a::User", "kind": "struct"}, {"qualified_name": "a::UserService", "kind": "class"}, {"qualified_name": "b::find_user", "signature": "(user name)"})
     assert [r.qualified_name for r in phrase_search(own, "User").collect()][0] == "a::User"
